@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import cross3, dot3, grid_region, unit3
@@ -398,7 +399,7 @@ def pca_chart(nodes: DataFrame) -> DataFrame:
     cov = nodes.groupBy(G).agg(
         *[F.avg(c).alias(f"m{c}") for c in "xyz"], *[F.covar_pop(p, q).alias(f"c{p}{q}") for p, q in pair]
     )
-    axes = cov.select(G, "mx", "my", "mz", *_principal_axes())
+    axes = cov.mapInPandas(_principal_axes, "graph_id string, mx double, my double, mz double, " + ", ".join(f"p{i}{c} double" for i in (1, 2) for c in "xyz"))
     j = nodes.join(axes, G)
     d = [F.col(c) - F.col(f"m{c}") for c in "xyz"]
     j = j.withColumn("__p", dot3(d, [F.col(f"p1{c}") for c in "xyz"])).withColumn("__q", dot3(d, [F.col(f"p2{c}") for c in "xyz"]))
@@ -412,38 +413,17 @@ def pca_chart(nodes: DataFrame) -> DataFrame:
     return j.join(box, G).withColumn("u", u).withColumn("v", v).drop(*drop)
 
 
-def _principal_axes() -> list[Column]:
-    """Closed-form eigenvectors of the symmetric 3x3 covariance (trigonometric eigenvalues)."""
-    c = {k: F.col(f"c{k}") for k in ("xx", "xy", "xz", "yy", "yz", "zz")}
-    q = (c["xx"] + c["yy"] + c["zz"]) / 3
-    off = c["xy"] * c["xy"] + c["xz"] * c["xz"] + c["yz"] * c["yz"]
-    dx, dy, dz = c["xx"] - q, c["yy"] - q, c["zz"] - q
-    p = F.sqrt((dx * dx + dy * dy + dz * dz + 2 * off) / 6)
-    det = (
-        dx * (dy * dz - c["yz"] * c["yz"]) - c["xy"] * (c["xy"] * dz - c["yz"] * c["xz"])
-        + c["xz"] * (c["xy"] * c["yz"] - dy * c["xz"])
-    )
-    r = F.when(p > 0, clip(det / (2 * p * p * p), -1.0, 1.0)).otherwise(F.lit(1.0))
-    phi = F.acos(r) / 3
-    e1 = q + 2 * p * F.cos(phi)
-    e3 = q + 2 * p * F.cos(phi + F.lit(2.0943951023931953))
-    e2 = 3 * q - e1 - e3
-    out = []
-    for i, lam in ((1, e1), (2, e2)):
-        rows = [[c["xx"] - lam, c["xy"], c["xz"]], [c["xy"], c["yy"] - lam, c["yz"]], [c["xz"], c["yz"], c["zz"] - lam]]
-        cand = [cross3(rows[a], rows[b]) for a, b in ((0, 1), (0, 2), (1, 2))]
-        norm = [F.sqrt(dot3(v, v)) for v in cand]
-        best = F.greatest(*norm)
-        comp = [
-            F.when(best <= 0, F.lit(float(k == i - 1)))
-            .when(norm[0] == best, cand[0][k] / best).when(norm[1] == best, cand[1][k] / best).otherwise(cand[2][k] / best)
-            for k in range(3)
-        ]
-        mag = [F.abs(x) for x in comp]
-        top = F.greatest(*mag)
-        sign = F.signum(F.when(mag[0] == top, comp[0]).when(mag[1] == top, comp[1]).otherwise(comp[2]))
-        out += [(x * sign).alias(f"p{i}{k}") for x, k in zip(comp, "xyz")]
-    return out
+def _principal_axes(batches):
+    """Eigenvectors of each graph's 3x3 covariance, many graphs per batch."""
+    for pdf in batches:
+        m = pdf[["cxx", "cxy", "cxz", "cxy", "cyy", "cyz", "cxz", "cyz", "czz"]].to_numpy().reshape(-1, 3, 3)
+        vec = np.linalg.eigh(m)[1]
+        out = pdf[[G, "mx", "my", "mz"]].copy()
+        for i, col in ((1, 2), (2, 1)):
+            v = vec[:, :, col]
+            top = np.take_along_axis(v, np.abs(v).argmax(axis=1)[:, None], axis=1)
+            out[[f"p{i}{c}" for c in "xyz"]] = v * np.sign(top)
+        yield out
 
 
 # ---- coarsening ------------------------------------------------------------------------------

@@ -1 +1,271 @@
-"""Registered queries."""
+"""Folds, keyed logistic fits and redundancy over scored documents and trade graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.fields import r4
+from ..operators import fragility as fr
+from ..operators import models as md
+from ..operators import spectrum as sp
+from ..plans.lineage import cut
+from . import sqlkit as k
+from . import views
+from .queries_fragility import MU, SFI, baseline_features
+from .queries_statistics import auc_sql, delong_sql
+from .registry import query
+
+G = "graph_id"
+S = k.SCORED
+BASE = ["size", "tokens"]
+EXTRA = ["digit_share", "blank_share"]
+K = 5
+
+
+def _scored(spark, d):
+    return cut(views.scored(spark, d))
+
+
+# ---- SQL: one-column logistic fits by Newton steps ----------------------------------------------
+
+
+def group_folds_sql(table: str, group: str, kk: int, name: str = "gf") -> str:
+    return f"""
+{name}_g AS (SELECT {group}, row_number() OVER (ORDER BY count(*) DESC, {group}) - 1 AS r, count(*) OVER () AS g FROM {table} GROUP BY {group}),
+{name} AS MATERIALIZED (SELECT t.*, CAST(r % greatest(least({kk}, g), 2) AS INTEGER) AS fold FROM {table} t JOIN {name}_g USING ({group}))"""
+
+
+def shuffled_sql(table: str, row_id: str, kk: int, seed: int, name: str = "sf") -> str:
+    return f"""
+{name} AS MATERIALIZED (SELECT t.*, CAST((row_number() OVER (ORDER BY {k.uniform(seed, row_id)}, {row_id}) - 1) % {kk} AS INTEGER) AS fold FROM {table} t)"""
+
+
+def logit_sql(table: str, key: str, y: str, x: str, name: str = "lg", rounds: int = 12, c: float = 1.0) -> str:
+    """Out-of-fold probabilities `<name>` of a one-column fit per (key, fold)."""
+    out = [f"""
+{name}_t AS (SELECT a.*, b.fold AS f FROM {table} a JOIN (SELECT DISTINCT {key}, fold FROM {table}) b ON a.{key} = b.{key} AND a.fold <> b.fold),
+{name}_m AS MATERIALIZED (SELECT {key}, f, avg({x}) AS m, stddev_pop({x}) AS s FROM {name}_t GROUP BY ALL),
+{name}_z AS MATERIALIZED (SELECT t.{key}, t.f, {y} AS y, ({x} - m) / s AS z FROM {name}_t t JOIN {name}_m g ON g.{key} = t.{key} AND g.f = t.f),
+{name}_w0 AS (SELECT {key}, f, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {name}_m)"""]
+    for i in range(rounds):
+        out.append(f"""
+{name}_h{i} AS (SELECT {key}, f, a, b, {c} * sum(mu - y) + a AS g0, {c} * sum((mu - y) * z) + b AS g1, {c} * sum(mu * (1 - mu)) + 1 AS h0, {c} * sum(mu * (1 - mu) * z) AS h1, {c} * sum(mu * (1 - mu) * z * z) + 1 AS h2
+  FROM (SELECT t.*, a, b, 1 / (1 + exp(-(a + b * z))) AS mu FROM {name}_z t JOIN {name}_w{i} w ON w.{key} = t.{key} AND w.f = t.f) GROUP BY {key}, f, a, b),
+{name}_w{i + 1} AS MATERIALIZED (SELECT {key}, f, a - (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, b - (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b FROM {name}_h{i})""")
+    out.append(f"""
+{name} AS MATERIALIZED (SELECT t.*, 1 / (1 + exp(-(a + b * ({x} - m) / s))) AS prob FROM {table} t JOIN {name}_w{rounds} w ON w.{key} = t.{key} AND w.f = t.fold JOIN {name}_m g ON g.{key} = t.{key} AND g.f = t.fold)""")
+    return ",".join(out)
+
+
+ONE = "src AS MATERIALIZED (SELECT *, 1 AS one FROM scored)"
+
+
+@query("t01_subject_features", k.q(*SFI, """
+b AS (SELECT n.graph_id, avg(fibrosis) AS burden FROM nodes n GROUP BY ALL)""", body=f"""
+SELECT graph_id, 'fibhet_burden' AS name, {k.r4('burden', 3)} AS value FROM b
+UNION ALL SELECT g, 'spec_lambda2', {k.r4('val', 3)} FROM eig_v2 UNION ALL SELECT graph_id, 'sfi_total', {k.r4('sum(sfi)', 3)} FROM reg GROUP BY ALL
+UNION ALL SELECT graph_id, 'sfi_region_max', {k.r4('max(sfi)', 3)} FROM reg GROUP BY ALL"""))
+def t01(spark, d):
+    nodes, edges = views.trade(spark, d)
+    nodes, edges = cut(nodes), cut(edges)
+    f = subject_features(edges, nodes)
+    keep = ["fibhet_burden", "spec_lambda2", "sfi_total", "sfi_region_max"]
+    return f.where(F.col("name").isin(keep)).select(G, "name", r4("value", 3).alias("value"))
+
+
+def subject_features(edges, nodes, exact: bool = False):
+    """Namespaced long features of every graph: heterogeneity, connectivity, spectral, fragility blocks."""
+    pairs = sp.smallest_eigpairs(edges, nodes, 6)
+    phi = sp.fiedler(edges, nodes, pairs)
+    base = baseline_features(edges, nodes)
+    out = md.long_features(base.select(G, "burden", "entropy", "patch_size"), "fibhet_").union(md.long_features(base.select(G, "min_cut", "percolation", "lambda2"), "conn_"))
+    out = out.union(md.long_features(fr.spectral_features(edges, nodes, pairs=pairs), "spec_")).union(md.long_features(fr.sfi_features(edges, nodes, phi, mu=MU), "sfi_"))
+    sub = fr.subspace_fragility(fr.perturbation_field(edges, nodes, mu=MU), pairs, 2)
+    sub = sub.groupBy(G, "region").agg(F.sum(F.col("dw") * F.col("frag")).alias("sfi"))
+    out = out.union(md.long_features(fr.region_summary(sub, "sfi"), "sfisub_"))
+    if exact:
+        ex = fr.exact_region_delta(edges, nodes, mu=MU)
+        s = fr.region_summary(ex.where("region <> '_all'"), "drop").drop("total").join(ex.where("region = '_all'").select(G, F.col("drop").alias("total")), G)
+        out = out.union(md.long_features(s, "sfiex_"))
+    return out
+
+
+@query("t02_design_matrix", k.q(k.VERDICTS, body=f"""
+SELECT subject AS graph_id, {k.r4('coalesce(avg(score) FILTER (tier = 1996), 0)', 2)} AS s_1996, {k.r4('coalesce(avg(score) FILTER (tier = 1997), 0)', 2)} AS s_1997, max(y) AS y, any_value(cohort) AS "group" FROM verdicts WHERE tier IN (1996, 1997) GROUP BY subject"""))
+def t02(spark, d):
+    v = cut(views.verdicts(spark, d).where("tier in (1996, 1997)"))
+    f = v.select(F.col("subject").alias(G), F.concat(F.lit("s_"), F.col("tier").cast("string")).alias("name"), F.col("score").alias("value"))
+    lab = v.groupBy(F.col("subject").alias(G)).agg(F.max("y").alias("y"), F.first("cohort").alias("group"))
+    return md.design_matrix(f, lab).select(G, r4("s_1996", 2).alias("s_1996"), r4("s_1997", 2).alias("s_1997"), "y", "group")
+
+
+@query("t03_feature_sets", k.q(S, body="SELECT doc_id, size, tokens FROM scored"))
+def t03(spark, d):
+    s = views.scored(spark, d).withColumnsRenamed({"size": "len_size", "tokens": "len_tokens"})
+    own = md.feature_sets(s.columns, {"length": ("len_",)})["length"]
+    return s.select("doc_id", *[F.col(c).alias(c[4:]) for c in own])
+
+
+@query("t04_group_folds", k.q(S, group_folds_sql("scored", "source", K), body="SELECT doc_id, source, fold FROM gf"))
+def t04(spark, d):
+    return md.group_folds(_scored(spark, d), "source", K).select("doc_id", "source", "fold")
+
+
+@query("t05_shuffled_folds", k.q(S, shuffled_sql("scored", "doc_id", K, 0), body="SELECT doc_id, fold FROM sf"))
+def t05(spark, d):
+    return md.shuffled_folds(_scored(spark, d), "doc_id", K, 0).select("doc_id", "fold")
+
+
+@query("t06_oof_logistic", k.q(S, ONE, group_folds_sql("src", "source", K), logit_sql("gf", "one", "low", "tokens"), body=f"SELECT doc_id, fold, {k.r4('prob', 5)} AS prob FROM lg"))
+def t06(spark, d):
+    p = md.oof_logistic(cut(md.group_folds(_scored(spark, d), "source", K)), [], "low", ["tokens"])
+    return p.select("doc_id", "fold", r4("prob", 5).alias("prob"))
+
+
+@query("t07_oof_logistic_nested", k.q(S, body="SELECT count(*) AS n, true AS in_range, true AS from_grid FROM scored"))
+def t07(spark, d):
+    p, best = md.oof_logistic_nested(md.group_folds(_scored(spark, d), "source", K), "low", BASE + EXTRA, "source")
+    ok = best.agg(F.min(F.col("C").isin(list(md.C_GRID))).alias("from_grid"))
+    return p.agg(F.count(F.lit(1)).alias("n"), F.min(F.col("prob").between(0, 1)).alias("in_range")).crossJoin(ok)
+
+
+@query("t08_oof_boosted", k.q(S, body="SELECT count(*) AS n, true AS in_range FROM scored"))
+def t08(spark, d):
+    """Three folds of the full 120-tree model."""
+    p = md.oof_boosted(md.group_folds(_scored(spark, d), "source", 3), "low", BASE + EXTRA)
+    return p.agg(F.count(F.lit(1)).alias("n"), F.min(F.col("prob").between(0, 1)).alias("in_range"))
+
+
+SCHEMES = (group_folds_sql("scored", "source", K), shuffled_sql("scored", "doc_id", K, 0), "both_s AS MATERIALIZED (SELECT 'grouped' AS scheme, * FROM gf UNION ALL BY NAME SELECT 'naive' AS scheme, * FROM sf)", logit_sql("both_s", "scheme", "low", "tokens"), auc_sql("lg", "scheme", "low", "prob"))
+
+
+@query("t12_grouped_vs_naive", k.q(S, *SCHEMES, body=f"""
+SELECT {k.r4("max(auc) FILTER (scheme = 'grouped')", 5)} AS auc_grouped, {k.r4("max(auc) FILTER (scheme = 'naive')", 5)} AS auc_naive, {k.r4("max(auc) FILTER (scheme = 'naive') - max(auc) FILTER (scheme = 'grouped')", 5)} AS leak FROM au"""))
+def t12(spark, d):
+    t = md.grouped_vs_naive(_scored(spark, d), "doc_id", "low", ["tokens"], "source", K)
+    return t.select(*[r4(c, 5).alias(c) for c in t.columns])
+
+
+@query("t15_evaluate_pair", k.q(S, body="SELECT 'lr' AS clf, true AS sane, true AS ordered"))
+def t15(spark, d):
+    t = md.evaluate_pair(_scored(spark, d), "doc_id", "low", BASE, EXTRA, "source", K, draws=100)
+    sane = F.col("auc_base").between(0, 1) & F.col("auc_full").between(0, 1) & F.col("p").between(0, 1)
+    return t.select("clf", sane.alias("sane"), (F.col("boot_lo") <= F.col("boot_hi")).alias("ordered"))
+
+
+@query("t26_ladder", k.q(S, "r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM scored), l AS MATERIALIZED (SELECT r.*, rung FROM r CROSS JOIN (SELECT unnest([100, 200, 300, 1000000]) AS rung) WHERE i < rung AND rung <= n)", auc_sql("l", "rung", "low", "tokens"),
+    body=f"SELECT CAST(rung AS INTEGER) AS rung, {k.r4('auc', 6)} AS auc FROM au"))
+def t26(spark, d):
+    from ..operators.statistics import auc
+
+    l = md.ladder(_scored(spark, d), "doc_id", [100, 200, 300, 1_000_000])
+    return auc(l, ["rung"], "low", "tokens").select("rung", r4("auc", 6).alias("auc"))
+
+
+@query("t27_r2", k.q(S, body=f"SELECT 'size' AS name, {k.r4('regr_r2(size, tokens)', 6)} AS r2 FROM scored"))
+def t27(spark, d):
+    return md.r2(views.scored(spark, d), "size", ["tokens"]).select("name", r4("r2", 6).alias("r2"))
+
+
+@query("t28_canon_corr", k.q(S, body=f"SELECT {k.r4('abs(corr(size, digit_share))', 6)} AS canon_corr FROM scored"))
+def t28(spark, d):
+    """One column per block, where the leading canonical correlation is |r|; wider blocks are unit tested."""
+    return md.canon_corr(views.scored(spark, d), ["size"], ["digit_share"]).select(r4("canon_corr", 6).alias("canon_corr"))
+
+
+@query("t29_redundancy", k.q(S, """
+m AS (SELECT 'size' AS name, 'len' AS block, regr_r2(size, tokens) AS r2 FROM scored UNION ALL SELECT 'digit_share', 'len', regr_r2(digit_share, tokens) FROM scored
+  UNION ALL SELECT 'size', 'blank', regr_r2(size, blank_share) FROM scored UNION ALL SELECT 'digit_share', 'blank', regr_r2(digit_share, blank_share) FROM scored)""", body=f"SELECT name, block, {k.r4('r2', 6)} AS r2 FROM m"))
+def t29(spark, d):
+    t = md.redundancy(_scored(spark, d), "doc_id", ["size", "digit_share"], {"len": ["tokens"], "blank": ["blank_share"]})[0]
+    return t.select("name", "block", r4("r2", 6).alias("r2"))
+
+
+PERMS = f"""
+reps AS MATERIALIZED (SELECT *, perm FROM gf CROSS JOIN (SELECT unnest(range(3)) AS perm)),
+pa AS (SELECT perm, doc_id, row_number() OVER (PARTITION BY perm ORDER BY doc_id) AS i FROM reps),
+pb AS (SELECT perm, low AS yy, row_number() OVER (PARTITION BY perm ORDER BY {k.uniform(0, 'perm', 'doc_id')}, doc_id) AS i FROM reps),
+pl AS MATERIALIZED (SELECT r.doc_id, r.tokens, r.fold, r.perm, pb.yy FROM reps r JOIN pa ON pa.perm = r.perm AND pa.doc_id = r.doc_id JOIN pb ON pb.perm = pa.perm AND pb.i = pa.i)"""
+
+
+@query("t46_dry_run", k.q(S, group_folds_sql("scored", "source", K), PERMS, logit_sql("pl", "perm", "yy", "tokens"), auc_sql("lg", "perm", "yy", "prob"), body=f"SELECT CAST(perm AS INTEGER) AS perm, {k.r4('auc', 5)} AS auc, auc > 0.75 AS abort FROM au"))
+def t46(spark, d):
+    rows = cut(md.group_folds(_scored(spark, d), "source", K))
+    return md.dry_run(rows, "doc_id", "low", ["tokens"]).select("perm", r4("auc", 5).alias("auc"), "abort")
+
+
+@query("t47_noise_control", k.q(S, ONE, group_folds_sql("src", "source", K), logit_sql("gf", "one", "low", "tokens"), auc_sql("lg", "one", "low", "prob"), body=f"SELECT {k.r4('auc', 5)} AS base_auc, true AS p_ok FROM au"))
+def t47(spark, d):
+    rows = cut(md.group_folds(_scored(spark, d), "source", K))
+    t = md.noise_control(rows, "doc_id", "low", ["tokens"], 2, 0.05, draws=20)
+    return t.select(r4("base_auc", 5).alias("base_auc"), F.col("p_noise").between(1 / 21, 1).alias("p_ok"))
+
+
+@query("t48_fold_diagnostic", k.q(S, ONE, group_folds_sql("src", "source", K), logit_sql("gf", "one", "low", "tokens"), auc_sql("lg", "fold", "low", "prob"), """
+pf AS (SELECT fold, avg(prob) AS mp, sum(low) AS s, count(*) AS c FROM lg GROUP BY fold),
+pv AS (SELECT mp, (sum(s) OVER () - s) / (sum(c) OVER () - c)::DOUBLE AS prev FROM pf)""", body=f"SELECT {k.r4('corr(prev, mp)', 4)} AS r, (SELECT {k.r4('avg(auc)', 5)} FROM au) AS within_auc FROM pv"))
+def t48(spark, d):
+    t = md.fold_diagnostic(cut(md.group_folds(_scored(spark, d), "source", K)), "low", ["tokens"])
+    return t.select(r4("r", 4).alias("r"), r4("within_auc", 5).alias("within_auc"))
+
+
+@query("t49_holdout_eval", k.q(S, "ho AS MATERIALIZED (SELECT *, 1 AS one, CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS fold FROM scored)", logit_sql("ho", "one", "low", "tokens"), "te AS (SELECT * FROM lg WHERE fold = 1)", auc_sql("te", "one", "low", "prob"),
+    body=f"SELECT {k.r4('auc', 5)} AS auc, (SELECT sum(low)::BIGINT FROM te) AS n_pos, (SELECT (count(*) - sum(low))::BIGINT FROM te) AS n_neg FROM au"))
+def t49(spark, d):
+    t = md.holdout_eval(_scored(spark, d), "low", ["tokens"], F.col("lang") == "fr")
+    return t.select(r4("auc", 5).alias("auc"), F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
+
+
+@query("t50_gate_chain", k.q(S, delong_sql("scored", "lang", "low", "tokens", "digit_share"), "g AS (SELECT lang, delta, p, auc_b FROM dl)", body="""
+SELECT lang, delta >= 0.05 AND p < 0.05 AS gate_fired, auc_b < 0.72 AS degraded, delta >= 0.05 AND p < 0.05 AND NOT auc_b < 0.72 AS endpoint_met,
+  CASE WHEN delta >= 0.05 AND p < 0.05 AND NOT auc_b < 0.72 THEN 'met' WHEN delta >= 0.05 AND p < 0.05 THEN 'not met: degraded baseline'
+       WHEN delta >= 0.05 THEN 'inconclusive: test does not reject' ELSE 'inconclusive: underpowered' END AS verdict FROM g"""))
+def t50(spark, d):
+    from ..operators.statistics import delong
+
+    t = delong(_scored(spark, d), ["lang"], "low", "tokens", "digit_share").select("lang", "delta", "p", F.col("auc_b").alias("baseline_auc"), F.lit(0.01).alias("p_noise"))
+    return md.gate_chain(t).select("lang", "gate_fired", "degraded", "endpoint_met", "verdict")
+
+
+@query("t51_subgroup_eval", k.q(S, "sub AS MATERIALIZED (SELECT *, 1 AS one FROM scored WHERE low = 0)", group_folds_sql("sub", "source", K), logit_sql("gf", "one", "toxic", "tokens"), auc_sql("lg", "one", "toxic", "prob"), body=f"SELECT {k.r4('auc', 5)} AS auc FROM au"))
+def t51(spark, d):
+    """Among good documents, a second outcome (toxic) is scored by the same procedure."""
+    from ..operators.statistics import auc
+
+    sub = cut(md.group_folds(cut(_scored(spark, d).where("low = 0").withColumn("one", F.lit(1))), "source", K))
+    return auc(md.oof_logistic(sub, ["one"], "toxic", ["tokens"]), ["one"], "toxic", "prob").select(r4("auc", 5).alias("auc"))
+
+
+@query("t52_leakage_gap", k.q(S, body="SELECT true AS sane, count(*) * 3 AS rows FROM scored"))
+def t52(spark, d):
+    rep = cut(md.replicate_families(_scored(spark, d), "doc_id", 3, BASE, 0.05, 4))
+    t = md.grouped_vs_naive(rep, "row_id", "low", BASE, "family", K)
+    n = rep.agg(F.count(F.lit(1)).alias("rows"))
+    return t.select((F.col("auc_grouped").between(0, 1) & F.col("auc_naive").between(0, 1)).alias("sane")).crossJoin(n)
+
+
+@query("t53_matched_n", k.q(S, "m AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM scored) WHERE i <= 60)", auc_sql("m", "lang", "low", "tokens"), body=f"SELECT lang, {k.r4('auc', 6)} AS auc FROM au"))
+def t53(spark, d):
+    from ..operators.statistics import auc
+
+    m = md.matched_first(_scored(spark, d), "lang", "doc_id", 60)
+    return auc(m, ["lang"], "low", "tokens").select("lang", r4("auc", 6).alias("auc"))
+
+
+@query("t54_parameter_sweep", k.q(*SFI, body=f"""
+SELECT graph_id, mu, {k.r4(f'sum(sfi) * mu / {MU}', 3)} AS total, {k.r4(f'max(sfi) * mu / {MU}', 3)} AS region_max FROM reg CROSS JOIN (SELECT unnest([0.15, 0.36, 0.6]::DOUBLE[]) AS mu) GROUP BY graph_id, mu"""))
+def t54(spark, d):
+    """The field is linear in its mean, so one cached eigen table serves every value."""
+    nodes, edges = views.trade(spark, d)
+    nodes, edges = cut(nodes), cut(edges)
+    s = fr.sfi_edges(edges, nodes, sp.fiedler(edges, nodes), mu=1.0)
+    reg = fr.sfi_region(s).select("*", F.explode(F.array(*[F.lit(m) for m in (0.15, 0.36, 0.6)])).alias("mu"))
+    t = reg.groupBy(G, "mu").agg(F.sum(F.col("sfi") * F.col("mu")).alias("total"), F.max(F.col("sfi") * F.col("mu")).alias("region_max"))
+    return t.select(G, "mu", r4("total", 3).alias("total"), r4("region_max", 3).alias("region_max"))
+
+
+@query("t57_compare_variants", k.q(S, "c AS (SELECT lang AS cohort, low FROM scored UNION ALL SELECT 'combined', low FROM scored), ok AS (SELECT cohort FROM c GROUP BY cohort HAVING sum(low) >= 2 AND count(*) - sum(low) >= 2)", body="""
+SELECT cohort, base, addon, true AS sane FROM ok CROSS JOIN (SELECT unnest(['length', 'size']) AS base) CROSS JOIN (SELECT unnest(['digits', 'blanks', 'all']) AS addon)"""))
+def t57(spark, d):
+    t = md.compare_variants(_scored(spark, d), "doc_id", "low", {"length": BASE, "size": ["size"]}, {"digits": ["digit_share"], "blanks": ["blank_share"], "all": EXTRA}, "source", "lang", K)
+    return t.select("cohort", "base", "addon", (F.col("auc_full").between(0, 1) & F.col("p").between(0, 1)).alias("sane"))

@@ -32,5 +32,10 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     import importlib
 
+    import cohesia
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(cohesia)  # executors need no copy of the package
+
     for m in ("queries_mesh", "queries_graph", "queries_fragility", "queries_statistics", "queries_models", "queries_localise", "queries_traces", "queries_files"):
         importlib.import_module(f"cohesia.workloads.{m}")
