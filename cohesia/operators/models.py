@@ -164,8 +164,8 @@ def oof_logistic_nested(df: DataFrame, y: str, cols: Sequence[str], group: str,
     cs = F.explode(F.array(*[F.lit(float(c)) for c in grid])).alias("C")
     inner = _train_rows(tr, "inner", "__i").select("*", cs)
     model = cut(fit_logistic(inner, ["outer", "__i", "C"], y, cols, "C"))
-    scored = predict_logistic(tr.select("*", cs).withColumn("__i", F.col("inner")), model, ["outer", "__i", "C"], cols, "__p")
-    a = auc(cut(scored), ["outer", "C"], y, "__p")
+    scored = predict_logistic(tr.select("*", cs).withColumn("__i", F.col("inner")), model, ["outer", "__i", "C"], cols, "__score")
+    a = auc(cut(scored), ["outer", "C"], y, "__score")
     best = a.groupBy("outer").agg(F.max_by("C", F.struct(F.coalesce("auc", F.lit(-1.0)), -F.col("C"))).alias("C"), F.max("auc").alias("inner_auc"))
     best = cut(best.select("outer", F.when(F.col("inner_auc").isNull(), F.lit(1.0)).otherwise(F.col("C")).alias("C")))
     final = cut(fit_logistic(tr.join(F.broadcast(best), "outer"), ["outer"], y, cols, "C"))

@@ -91,12 +91,12 @@ def subject_features(edges, nodes, exact: bool = False):
 
 
 @query("t02_design_matrix", k.q(k.VERDICTS, body=f"""
-SELECT subject AS graph_id, {k.r4('coalesce(avg(score) FILTER (tier = 1996), 0)', 2)} AS s_1996, {k.r4('coalesce(avg(score) FILTER (tier = 1997), 0)', 2)} AS s_1997, max(y) AS y, any_value(cohort) AS "group" FROM verdicts WHERE tier IN (1996, 1997) GROUP BY subject"""))
+SELECT subject AS graph_id, {k.r4('coalesce(avg(score) FILTER (tier = 1996), 0)', 6)} AS s_1996, {k.r4('coalesce(avg(score) FILTER (tier = 1997), 0)', 6)} AS s_1997, max(y) AS y, any_value(cohort) AS "group" FROM verdicts WHERE tier IN (1996, 1997) GROUP BY subject"""))
 def t02(spark, d):
     v = cut(views.verdicts(spark, d).where("tier in (1996, 1997)"))
     f = v.select(F.col("subject").alias(G), F.concat(F.lit("s_"), F.col("tier").cast("string")).alias("name"), F.col("score").alias("value"))
     lab = v.groupBy(F.col("subject").alias(G)).agg(F.max("y").alias("y"), F.first("cohort").alias("group"))
-    return md.design_matrix(f, lab).select(G, r4("s_1996", 2).alias("s_1996"), r4("s_1997", 2).alias("s_1997"), "y", "group")
+    return md.design_matrix(f, lab).select(G, r4("s_1996", 6).alias("s_1996"), r4("s_1997", 6).alias("s_1997"), "y", "group")
 
 
 @query("t03_feature_sets", k.q(S, body="SELECT doc_id, size, tokens FROM scored"))
@@ -131,8 +131,8 @@ def t07(spark, d):
 
 @query("t08_oof_boosted", k.q(S, body="SELECT count(*) AS n, true AS in_range FROM scored"))
 def t08(spark, d):
-    """Three folds of the full 120-tree model."""
-    p = md.oof_boosted(md.group_folds(_scored(spark, d), "source", 3), "low", BASE + EXTRA)
+    """Two folds of the full 120-tree model."""
+    p = md.oof_boosted(md.group_folds(_scored(spark, d), "source", 2), "low", BASE + EXTRA)
     return p.agg(F.count(F.lit(1)).alias("n"), F.min(F.col("prob").between(0, 1)).alias("in_range"))
 
 

@@ -219,10 +219,10 @@ def t36(spark, d):
 
 
 @query("t37_arm_summary", k.q(V, body=f"""
-SELECT tier, count(*) AS n, sum(y)::BIGINT AS positives, {k.r4('avg(y)', 6)} AS rate, {k.r4('avg(score)', 2)} AS mean_score, {k.r4('avg(cov)', 2)} AS mean_cov FROM verdicts GROUP BY tier"""))
+SELECT tier, count(*) AS n, sum(y)::BIGINT AS positives, {k.r4('avg(y)', 6)} AS rate, {k.r4('avg(score)', 6)} AS mean_score, {k.r4('avg(cov)', 6)} AS mean_cov FROM verdicts GROUP BY tier"""))
 def t37(spark, d):
     a = st.arm_summary(views.verdicts(spark, d), ["tier"], "y", ["score", "cov"])
-    return a.select("tier", "n", "positives", r4("rate", 6).alias("rate"), r4("mean_score", 2).alias("mean_score"), r4("mean_cov", 2).alias("mean_cov"))
+    return a.select("tier", "n", "positives", r4("rate", 6).alias("rate"), r4("mean_score", 6).alias("mean_score"), r4("mean_cov", 6).alias("mean_cov"))
 
 
 @query("t38_design", k.q(V, body="SELECT DISTINCT c.c_custkey AS subject, t.tier FROM customer c CROSS JOIN (SELECT DISTINCT tier FROM verdicts) t"))
@@ -268,17 +268,17 @@ def t41f(spark, d):
 
 
 @query("t42_paired_change", k.q(V, PAIR, body=f"""
-SELECT count(*) AS n, count(*) FILTER (sa <> sb) AS n_changed, {k.r4('max(abs(sa - sb))', 2)} AS max_change, {k.r4('median(abs(sa - sb))', 2)} AS median_change FROM pair"""))
+SELECT count(*) AS n, count(*) FILTER (sa <> sb) AS n_changed, {k.r4('max(abs(sa - sb))', 6)} AS max_change, {k.r4('median(abs(sa - sb))', 6)} AS median_change FROM pair"""))
 def t42(spark, d):
     p = st.paired(views.verdicts(spark, d), "tier", 1996, 1997, y="score")
-    return st.paired_change(p).select("n", "n_changed", r4("max_change", 2).alias("max_change"), r4("median_change", 2).alias("median_change"))
+    return st.paired_change(p).select("n", "n_changed", r4("max_change", 6).alias("max_change"), r4("median_change", 6).alias("median_change"))
 
 
 @query("t43_dispersion", k.q(V, body=f"""
-SELECT cohort, count(*) AS n, {k.r4('median(score)', 2)} AS median, {k.r4('quantile_cont(score, 0.25)', 2)} AS q25, {k.r4('quantile_cont(score, 0.75)', 2)} AS q75, {k.r4('min(score)', 2)} AS min, {k.r4('max(score)', 2)} AS max, min(score) > 1000 AS all_exceed FROM verdicts GROUP BY cohort"""))
+SELECT cohort, count(*) AS n, {k.r4('median(score)', 6)} AS median, {k.r4('quantile_cont(score, 0.25)', 6)} AS q25, {k.r4('quantile_cont(score, 0.75)', 6)} AS q75, {k.r4('min(score)', 6)} AS min, {k.r4('max(score)', 6)} AS max, min(score) > 1000 AS all_exceed FROM verdicts GROUP BY cohort"""))
 def t43(spark, d):
     t = st.dispersion(views.verdicts(spark, d), ["cohort"], "score", 1000.0)
-    return t.select("cohort", "n", *[r4(c, 2).alias(c) for c in ("median", "q25", "q75", "min", "max")], "all_exceed")
+    return t.select("cohort", "n", *[r4(c, 6).alias(c) for c in ("median", "q25", "q75", "min", "max")], "all_exceed")
 
 
 @query("t44_n_required", k.q(S, delong_sql("scored", "lang", "low", "tokens", "digit_share"), "c AS (SELECT lang, count(*) AS n FROM scored GROUP BY lang)", body=f"""
@@ -318,12 +318,12 @@ def t45n(spark, d):
 @query("t55_elementary_effects", k.q(V, """
 t AS (SELECT subject, tier, cohort, cnt::DOUBLE AS x, score AS y FROM verdicts),
 e AS (SELECT cohort, (y - lag(y) OVER w) / nullif(x - lag(x) OVER w, 0) AS ee FROM t WINDOW w AS (PARTITION BY subject ORDER BY tier))""", body=f"""
-SELECT cohort AS factor, {k.r4('avg(abs(ee))', 2)} AS mu_star, {k.r4('avg(ee)', 2)} AS mu, {k.r4('stddev_pop(ee)', 2)} AS sigma, count(*) AS n FROM e WHERE ee IS NOT NULL GROUP BY cohort"""))
+SELECT cohort AS factor, {k.r4('avg(abs(ee))', 4)} AS mu_star, {k.r4('avg(ee)', 4)} AS mu, {k.r4('stddev_pop(ee)', 4)} AS sigma, count(*) AS n FROM e WHERE ee IS NOT NULL GROUP BY cohort"""))
 def t55(spark, d):
     """A customer's years are a trajectory; the moved factor is the order count within a segment."""
     v = views.verdicts(spark, d).select(F.col("subject").alias("trajectory"), F.col("tier").alias("step"), F.col("cohort").alias("factor"), F.col("cnt").cast("double").alias("x"), F.col("score").alias("y"))
     e = st.elementary_effects(v)
-    return e.select("factor", *[r4(c, 2).alias(c) for c in ("mu_star", "mu", "sigma")], "n")
+    return e.select("factor", *[r4(c, 4).alias(c) for c in ("mu_star", "mu", "sigma")], "n")
 
 
 @query("t56_untraced_numbers", k.q("""

@@ -141,7 +141,7 @@ def scored(spark, d) -> DataFrame:
 def traces(spark, d) -> DataFrame:
     """Hourly frames per event type (run) and user (node): v is the hour's largest value."""
     e = table(spark, d, "events")
-    hour = F.floor((F.unix_micros("ts") - F.lit(1704067200000000)) / F.lit(3600000000))
+    hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / F.lit(3600000000))
     return e.groupBy(F.col("event_type").alias("run_id"), F.col("user_id").alias("node_id"), hour.cast("long").alias("frame")).agg(
         F.max("value").alias("v")
     ).withColumn("t", F.col("frame").cast("double"))
