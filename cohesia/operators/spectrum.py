@@ -120,8 +120,10 @@ def lowest(coo: DataFrame, nodes: DataFrame, k: int, tol: float = 1e-7, dense_li
 class _Matrix:
     """Cached matrix partitioned by column, with hub columns split over salts."""
 
-    def __init__(self, coo: DataFrame):
+    def __init__(self, coo: DataFrame, nodes: DataFrame):
         spark = coo.sparkSession
+        diag = nodes.select(G, F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(0.0).alias("val"))
+        coo = coo.select(G, "i", "j", "val").union(diag)
         coo = cut(coo.groupBy(G, "i", "j").agg(F.sum("val").alias("val")))
         load = coo.groupBy(G, "j").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > TARGET_ROWS)
         # At most nnz / TARGET_ROWS hubs exist, so the hub list is small by construction.
@@ -138,21 +140,24 @@ class _Matrix:
         self.bound = cut(self.bound.groupBy(G).agg(F.max(F.col("d") + F.col("r")).alias("hi"), F.min(F.col("d") - F.col("r")).alias("lo")))
         self.table = coo.select(*cols).repartition(width(spark), *self.keys).persist()
 
-    def apply(self, state: DataFrame, p: int, alpha: Column, extra: list[Column], carry: list[str]) -> DataFrame:
-        """Columns n0..: alpha*(M y) + extra; y moves to q0..; `carry` columns are kept."""
+    def apply(self, state: DataFrame, p: int, alpha: str, extra: list[str], carry: list[str]) -> DataFrame:
+        """Columns n0..: alpha*(M y) + extra (SQL over the state); y moves to q0..; `carry` columns are kept.
+
+        A row's own terms travel with its diagonal entry, so the state is read once per step and a
+        chain of steps stays a linear plan.
+        """
         x = state
         if self.salted:
             x = x.join(F.broadcast(self.hubs.withColumnRenamed("j", "node_id")), [G, "node_id"], "left")
             x = x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-        x = x.select(G, F.col("node_id").alias("j"), *[(alpha * F.col(f"y{t}")).alias(f"a{t}") for t in range(p)], *(["salt"] if self.salted else []))
-        flow = self.table.join(x, self.keys).select(
-            G, F.col("i").alias("node_id"), *[(F.col("val") * F.col(f"a{t}")).alias(f"n{t}") for t in range(p)],
-            *[F.lit(None).cast("double").alias(f"q{t}") for t in range(p)], *[F.lit(None).cast("double").alias(c) for c in carry],
-        )
-        own = state.select(G, "node_id", *[e.alias(f"n{t}") for t, e in enumerate(extra)], *[F.col(f"y{t}").alias(f"q{t}") for t in range(p)], *carry)
-        return flow.union(own).groupBy(G, "node_id").agg(
-            *[F.sum(f"n{t}").alias(f"n{t}") for t in range(p)], *[F.max(f"q{t}").alias(f"q{t}") for t in range(p)], *[F.max(c).alias(c) for c in carry]
+        ts = range(p)
+        keys = ["node_id AS j" if k == "j" else k for k in self.keys]
+        x = x.selectExpr(*keys, *[f"({alpha}) * y{t} AS a{t}" for t in ts], *[f"{e} AS e{t}" for t, e in enumerate(extra)], *[f"y{t}" for t in ts], *[f"{c} AS own_{c}" for c in carry])
+        flow = self.table.join(x, self.keys).selectExpr(
+            G, "i AS node_id", *[f"val * a{t} + if(i = j, e{t}, 0.0D) AS n{t}" for t in ts], *[f"if(i = j, y{t}, null) AS q{t}" for t in ts], *[f"if(i = j, own_{c}, null) AS {c}" for c in carry]
         )
+        sums = [f"sum(n{t}) AS n{t}" for t in ts] + [f"max(q{t}) AS q{t}" for t in ts] + [f"max({c}) AS {c}" for c in carry]
+        return flow.groupBy(G, "node_id").agg(*[F.expr(e) for e in sums])
 
 
 def _ritz(p: int, k: int, tol: float):
@@ -192,26 +197,24 @@ def _ritz(p: int, k: int, tol: float):
 
 def _filtered(coo: DataFrame, nodes: DataFrame, k: int, tol: float, seed: int, max_rounds: int, degree: int = 12) -> DataFrame:
     p = k + max(3, k // 2)
-    mat = _Matrix(coo)
+    mat = _Matrix(coo, nodes)
     tri = [(r, c) for r in range(p) for c in range(r, p)]
     state = nodes.select(G, "node_id", *[(uniform(seed, G, "node_id", F.lit(t)) - 0.5).alias(f"y{t}") for t in range(p)])
     state = cut(state)
-    zero = [F.lit(0.0)] * p
+    zero = ["0.0D"] * p
     finished = []
     try:
         for _ in range(max_rounds):
-            pair = cut(mat.apply(state, p, F.lit(1.0), zero, []))  # q = Y, n = M Y
+            pair = cut(mat.apply(state, p, "1.0D", zero, []))  # q = Y, n = M Y
             gram = pair.groupBy(G).agg(
                 F.count(F.lit(1)).alias("n"),
-                *[F.sum(F.col(f"q{r}") * F.col(f"q{c}")).alias(f"b{r}_{c}") for r, c in tri],
-                *[F.sum(F.col(f"q{r}") * F.col(f"n{c}")).alias(f"a{r}_{c}") for r, c in tri],
-                *[F.sum(F.col(f"n{r}") * F.col(f"n{c}")).alias(f"d{r}_{c}") for r, c in tri],
+                *[F.expr(f"sum({u}{r} * {v}{c}) AS {n}{r}_{c}") for n, u, v in (("b", "q", "q"), ("a", "q", "n"), ("d", "n", "n")) for r, c in tri],
             ).join(mat.bound, G)
             ritz = cut(gram.mapInPandas(
                 _ritz(p, k, tol), "graph_id string, theta array<double>, resid array<double>, coef array<double>, done boolean, hi double"
             ))
             rot = pair.join(ritz, G)
-            comb = lambda m: reduce(lambda s, t: s + t, [F.col(f"q{r}") * F.col("coef")[r * p + m] for r in range(p)])
+            comb = lambda m: F.expr(" + ".join(f"q{r} * coef[{r * p + m}]" for r in range(p)))
             ok, live = ritz.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
             if ok:
                 out = rot.where("done").select(
@@ -225,21 +228,15 @@ def _filtered(coo: DataFrame, nodes: DataFrame, k: int, tol: float, seed: int, m
             c, e = (F.col("hi") + F.col("lo_cut")) / 2, (F.col("hi") - F.col("lo_cut")) / 2
             base = rot.where(~F.col("done")).withColumn("lo_cut", F.least(F.col("theta")[p - 1], F.col("hi") * 0.999))
             base = base.select(G, "node_id", *[comb(m).alias(f"y{m}") for m in range(p)], c.alias("c"), e.alias("e"), (e / (F.col("theta")[0] - c)).alias("s"))
-            s, tau = F.col("s"), F.lit(2.0)
-            cur = base.withColumn("tau", tau / s)
-            carry = ["c", "e", "s", "tau"]
-            first = mat.apply(cur, p, F.col("s") / F.col("e"), [-(F.col("c") * F.col("s") / F.col("e")) * F.col(f"y{t}") for t in range(p)], carry)
-            cur = first.select(G, "node_id", *[F.col(f"n{t}").alias(f"y{t}") for t in range(p)], *[F.col(f"q{t}").alias(f"z{t}") for t in range(p)], *carry)
+            cur = base.withColumn("tau", F.lit(2.0) / F.col("s"))
+            ts = range(p)
+            moved = [f"n{t} AS y{t}" for t in ts] + [f"q{t} AS z{t}" for t in ts]
+            first = mat.apply(cur, p, "s / e", [f"-(c * s / e) * y{t}" for t in ts], ["c", "e", "s", "tau"])
+            cur = first.selectExpr(G, "node_id", *moved, "c", "e", "s", "tau")
             for _step in range(degree - 1):
-                s2 = 1 / (F.col("tau") - F.col("s"))
-                cur = cur.withColumn("s2", s2)
-                al = 2 * F.col("s2") / F.col("e")
-                extra = [-(al * F.col("c")) * F.col(f"y{t}") - F.col("s") * F.col("s2") * F.col(f"z{t}") for t in range(p)]
-                nxt = mat.apply(cur, p, al, extra, ["c", "e", "s2", "tau"])
-                cur = nxt.select(
-                    G, "node_id", *[F.col(f"n{t}").alias(f"y{t}") for t in range(p)], *[F.col(f"q{t}").alias(f"z{t}") for t in range(p)],
-                    "c", "e", F.col("s2").alias("s"), "tau",
-                )
+                cur = cur.withColumn("s2", F.expr("1 / (tau - s)"))
+                nxt = mat.apply(cur, p, "2 * s2 / e", [f"-(2 * s2 / e * c) * y{t} - s * s2 * z{t}" for t in ts], ["c", "e", "s2", "tau"])
+                cur = nxt.selectExpr(G, "node_id", *moved, "c", "e", "s2 AS s", "tau")
             state = cut(cur.select(G, "node_id", *[f"y{t}" for t in range(p)]))
     finally:
         mat.table.unpersist()

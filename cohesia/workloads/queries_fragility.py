@@ -382,9 +382,9 @@ def f29(spark, d):
 a AS (SELECT graph_id, max(vuln) AS peak, arg_max(node_id, (vuln, -node_id)) AS top FROM vu GROUP BY ALL),
 h AS (SELECT graph_id, max(vuln) AS healthy FROM vh GROUP BY ALL)""", body=f"""
 SELECT graph_id, {k.r4('peak / (healthy + 1e-12)', 3)} AS reentry_index, peak > 0 AND peak / (healthy + 1e-12) >= 2.5 AS inducible,
-  CASE WHEN peak > 0 AND peak / (healthy + 1e-12) >= 2.5 THEN top END AS origin FROM a JOIN h USING (graph_id)""", recursive=True))
+  CASE WHEN peak > 0 AND peak / (healthy + 1e-12) >= 2.5 THEN top ELSE -1 END AS origin FROM a JOIN h USING (graph_id)""", recursive=True))
 def f30(spark, d):
     nodes, faces = views.surface(spark, d)
     nodes, edges = mesh.mesh_to_graph(nodes, faces)
     sites = nodes.groupBy(G).agg(F.min("node_id").alias("node_id"))
-    return fr.reentry_index(cut(edges), nodes, sites).select(G, r4("reentry_index", 3).alias("reentry_index"), "inducible", "origin")
+    return fr.reentry_index(cut(edges), nodes, sites).select(G, r4("reentry_index", 3).alias("reentry_index"), "inducible", F.coalesce("origin", F.lit(-1)).alias("origin"))

@@ -33,9 +33,9 @@ def r2(spark, d):
 UP = f"up AS (SELECT run_id, node_id, frame, coalesce(lag(v) OVER (PARTITION BY run_id, node_id ORDER BY frame) <= {TH} AND v > {TH}, false) AS up FROM traces {{w}})"
 
 
-@query("r3_upcrossings", k.q(T, UP.format(w=""), body="SELECT run_id, node_id, count(*) FILTER (up) AS crossings, min(frame) FILTER (up) AS first, max(frame) FILTER (up) AS last FROM up GROUP BY ALL"))
+@query("r3_upcrossings", k.q(T, UP.format(w=""), body="SELECT run_id, node_id, count(*) FILTER (up) AS crossings, coalesce(min(frame) FILTER (up), -1) AS first, coalesce(max(frame) FILTER (up), -1) AS last FROM up GROUP BY ALL"))
 def r3(spark, d):
-    return tr.upcrossings(views.traces(spark, d), TH)
+    return tr.upcrossings(views.traces(spark, d), TH).na.fill(-1, ["first", "last"])
 
 
 @query("r4_reentry_verdict", k.q(T, ACT, UP.format(w=f"WHERE frame > {LAST}"), """
@@ -83,8 +83,8 @@ def r8(spark, d):
 
 
 @query("r9_battery", k.q(T, "a AS (SELECT run_id, node_id, frame AS attempt, v > 200 AS ind, v AS sus, frame % 7 AS origin FROM traces)", body=f"""
-SELECT run_id, node_id, bool_or(ind) AS inducible, {k.r4('max(sus)')} AS sustained, arg_min(origin, attempt) FILTER (ind) AS origin FROM a GROUP BY ALL"""))
+SELECT run_id, node_id, bool_or(ind) AS inducible, {k.r4('max(sus)')} AS sustained, coalesce(arg_min(origin, attempt) FILTER (ind), -1) AS origin FROM a GROUP BY ALL"""))
 def r9(spark, d):
     """Each hourly frame of a user is one attempt."""
     a = views.traces(spark, d).select(R, "node_id", F.col("frame").alias("attempt"), (F.col("v") > 200).alias("inducible"), F.col("v").alias("sustained"), (F.col("frame") % 7).alias("origin"))
-    return tr.battery(a, [R, "node_id"]).withColumn("sustained", r4("sustained"))
+    return tr.battery(a, [R, "node_id"]).na.fill(-1, ["origin"]).withColumn("sustained", r4("sustained"))
