@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut, width
 
 G = "graph_id"
-LOCAL_EDGES = 20_000
+LOCAL_EDGES = 200_000
 
 
 def components(edges: DataFrame, nodes: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:

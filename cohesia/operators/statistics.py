@@ -46,7 +46,7 @@ def delong(df: DataFrame, keys: Sequence[str], y: str, a: str, b: str, group_row
     keys = list(keys)
     if a == b:
         df, b = df.withColumn("__b", F.col(a)), "__b"
-    rows = df.select(*keys, y, a, b)
+    rows = cut(df.select(*keys, y, a, b))  # read several times below
     j = rows.join(_placements(rows, keys, y, a, "a", group_rows), [*keys, a]).join(_placements(rows, keys, y, b, "b", group_rows), [*keys, b])
     size = rows.groupBy(*keys).agg(F.count_if(F.col(y) == 1).alias("m"), F.count_if(F.col(y) != 1).alias("n"))
     j = j.join(size, keys) if keys else j.crossJoin(size)
