@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import erlang
@@ -106,12 +106,12 @@ def sfi_region(scored: DataFrame) -> DataFrame:
 
 
 def region_summary(regions: DataFrame, col: str, top: int = 3) -> DataFrame:
-    """total, region max/mean/population sd, then top1..topK of a small per-region table."""
-    s = regions.groupBy(G).agg(
-        F.sum(col).alias("total"), F.max(col).alias("region_max"), F.avg(col).alias("region_mean"), F.stddev_pop(col).alias("region_std"),
-        F.sort_array(F.collect_list(col), asc=False).alias("r"),
-    )
-    return s.select(G, "total", "region_max", "region_mean", "region_std", *[F.coalesce(F.get("r", F.lit(i)), F.lit(0.0)).alias(f"top{i + 1}") for i in range(top)])
+    """total, region max/mean/population sd, then top1..topK of a per-region table."""
+    s = regions.groupBy(G).agg(F.sum(col).alias("total"), F.max(col).alias("region_max"), F.avg(col).alias("region_mean"), F.stddev_pop(col).alias("region_std"))
+    rank = F.row_number().over(Window.partitionBy(G).orderBy(F.col(col).desc()))
+    best = regions.select(G, col, rank.alias("__r")).where(F.col("__r") <= top)  # the limit is applied before the shuffle
+    best = best.groupBy(G).agg(*[F.coalesce(F.max(F.when(F.col("__r") == i, F.col(col))), F.lit(0.0)).alias(f"top{i}") for i in range(1, top + 1)])
+    return s.join(best, G)
 
 
 def sfi_features(edges: DataFrame, nodes: DataFrame, phi: DataFrame | None = None, **field) -> DataFrame:
@@ -235,7 +235,7 @@ def sfi_monte_carlo(edges: DataFrame, nodes: DataFrame, draws: int, seed: int, *
     return out.select(G, "region", "mean", std.alias("std"), (std / F.sqrt("cnt")).alias("se"), "cnt")
 
 
-def _sweep(edges: DataFrame, nodes: DataFrame, steps: DataFrame, mask: Column) -> DataFrame:
+def _sweep(edges: DataFrame, nodes: DataFrame, grid, mask: Column) -> DataFrame:
     """Shared body of the sweeps: per (graph, t) first-order and subspace predictions against exact drops."""
     from ..plans.lineage import cut
 
@@ -246,7 +246,7 @@ def _sweep(edges: DataFrame, nodes: DataFrame, steps: DataFrame, mask: Column) -
     phi = pairs.where("idx = 1").select(G, "node_id", F.col("x").alias("phi"))
     e = edge_fragility(edges, phi).withColumnRenamed("frag", "f1")
     e = subspace_fragility(e, pairs, 2).withColumnRenamed("frag", "f2").withColumn("hit", mask)
-    v = cut(e.where("hit").join(F.broadcast(steps)).withColumn("drop", F.col("t") * F.col("w")).withColumn("variant", F.col("step")))
+    v = cut(grid_rows(e.where("hit"), grid, "step", "t").withColumn("drop", F.col("t") * F.col("w")).withColumn("variant", F.col("step")))
     pred = v.groupBy(G, "variant", "t").agg(F.sum(F.col("drop") * F.col("f1")).alias("pred_first"), F.sum(F.col("drop") * F.col("f2")).alias("pred_sub"))
     lam = _variants(edges, nodes, v)
     key = F.concat_ws("#", G, F.col("variant").cast("string"))
@@ -265,9 +265,10 @@ def _sweep(edges: DataFrame, nodes: DataFrame, steps: DataFrame, mask: Column) -
     )
 
 
-def steps_frame(spark, grid) -> DataFrame:
-    """A parameter grid as rows (step, t); its size is fixed by the caller."""
-    return spark.createDataFrame([(i, float(t)) for i, t in enumerate(grid)], "step long, t double")
+def grid_rows(df: DataFrame, grid, step: str, value: str) -> DataFrame:
+    """Each row once per value of a parameter grid."""
+    items = [F.struct(F.lit(i).cast("long").alias(step), F.lit(float(t)).alias(value)) for i, t in enumerate(grid)]
+    return df.select("*", F.explode(F.array(*items)).alias("__g")).select(*df.columns, "__g.*")
 
 
 def validity_sweep(edges: DataFrame, nodes: DataFrame, grid=(0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.55, 0.75, 0.95), block: int = 3) -> DataFrame:
@@ -275,7 +276,7 @@ def validity_sweep(edges: DataFrame, nodes: DataFrame, grid=(0.01, 0.02, 0.05, 0
     from ..plans.ordered import row_numbers
 
     first = row_numbers(edges.select(G, "src", "dst", "w"), [G], [F.col("src"), F.col("dst")], "pos")
-    return _sweep(first, nodes, steps_frame(edges.sparkSession, grid), F.col("pos") < block)
+    return _sweep(first, nodes, grid, F.col("pos") < block)
 
 
 def rho_star(sweep: DataFrame, limit: float = 0.10) -> DataFrame:
@@ -287,13 +288,12 @@ def degeneracy_sweep(edges: DataFrame, nodes: DataFrame, bridge: str, levels, sh
     """Scale the bridge edges by each level (shrinking the gap) under one fixed masked reduction."""
     from ..functions.rng import uniform
 
-    lv = steps_frame(edges.sparkSession, levels).select(F.col("step").alias("lv"), F.col("t").alias("level"))
     e = edges.select(G, "src", "dst", "w", F.col(bridge).alias("b")).withColumn("hit", uniform(seed, G, "src", "dst") < share)
-    e = e.join(F.broadcast(lv)).select(F.concat_ws("~", G, "lv").alias(G), "src", "dst", F.when(F.col("b"), F.col("w") * F.col("level")).otherwise(F.col("w")).alias("w"), "hit")
-    n = nodes.select(G, "node_id").join(F.broadcast(lv)).select(F.concat_ws("~", G, "lv").alias(G), "node_id")
-    out = _sweep(e, n, steps_frame(edges.sparkSession, [share]), F.col("hit"))
+    e = grid_rows(e, levels, "lv", "level").select(F.concat_ws("~", G, "lv").alias(G), "src", "dst", F.when(F.col("b"), F.col("w") * F.col("level")).otherwise(F.col("w")).alias("w"), "hit")
+    n = grid_rows(nodes.select(G, "node_id"), levels, "lv", "level").select(F.concat_ws("~", G, "lv").alias(G), "node_id")
+    out = _sweep(e, n, [share], F.col("hit"))
     tag = F.split(G, "~")
-    return out.select(tag[0].alias(G), tag[1].cast("long").alias("lv"), "gap", "exact", "exact_sum", "pred_first", "pred_sub", "err_first", "err_sub").join(lv, "lv")
+    return out.select(tag[0].alias(G), tag[1].cast("long").alias("lv"), "gap", "exact", "exact_sum", "pred_first", "pred_sub", "err_first", "err_sub").withColumn("level", F.element_at(F.array(*[F.lit(float(v)) for v in levels]), F.col("lv").cast("int") + 1))
 
 
 def validity_scan(edges: DataFrame, nodes: DataFrame, safety: float = 0.5, limit: int | None = None, **field) -> tuple[DataFrame, DataFrame]:
@@ -327,8 +327,6 @@ def scaling_exponent(gaps: DataFrame, key: str) -> DataFrame:
 
 def resolution_change(rows: DataFrame) -> DataFrame:
     """Relative change of lambda2 between successive targets of a graph; a graph has few targets."""
-    from pyspark.sql import Window
-
     prev = F.lag("lambda2").over(Window.partitionBy(G).orderBy("target"))
     return rows.withColumn("rel_change", F.abs(F.col("lambda2") - prev) / F.greatest(F.abs(prev), F.lit(1e-12)))
 

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import cross3, dot3, grid_region, unit3
-from ..plans.joins import clip, endpoints
-from ..plans.ordered import row_numbers
+from ..plans.joins import clip, endpoints, salted
+from ..plans.ordered import largest_group, row_numbers
 from .components import components
 
 G = "graph_id"
+PACKED_ROWS = 4096  # longest list carried inside a row
 
 
 # ---- shapes ----------------------------------------------------------------------------------
@@ -225,9 +226,9 @@ def kernel_field(
 ) -> DataFrame:
     """Sum of Gaussian bumps at centres(graph_id,cx,cy,cz,amp), scaled to max 1, then to a target mean.
 
-    Centres are a short per-graph list, folded into one array so no node-centre pairs are emitted.
+    Up to PACKED_ROWS centres per graph are folded into one array, so no node-centre pairs are
+    emitted; longer lists meet the nodes in a salted join.
     """
-    packed = centres.groupBy(G).agg(F.collect_list(F.struct("cx", "cy", "cz", "amp")).alias("__c"))
     if sigma is None:
         box = [F.max(c) - F.min(c) for c in "xyz"]
         diag = F.sqrt(dot3(box, box))
@@ -238,7 +239,13 @@ def kernel_field(
     bump = lambda c: c["amp"] * F.exp(
         -(sq("x", c["cx"]) + sq("y", c["cy"]) + sq("z", c["cz"])) / (2 * F.col("__s") * F.col("__s"))
     )
-    raw = nodes2.join(packed, G).withColumn("__f", F.aggregate("__c", F.lit(0.0), lambda acc, c: acc + bump(c)))
+    if largest_group(centres, [G]) <= PACKED_ROWS:
+        packed = centres.groupBy(G).agg(F.collect_list(F.struct("cx", "cy", "cz", "amp")).alias("__c"))
+        raw = nodes2.join(packed, G).withColumn("__f", F.aggregate("__c", F.lit(0.0), lambda acc, c: acc + bump(c)))
+    else:
+        pairs = salted(nodes2.select(G, "node_id", "x", "y", "z", "__s"), centres, [G], ["node_id"])
+        per = pairs.groupBy(G, "node_id").agg(F.sum(bump({k: F.col(k) for k in ("cx", "cy", "cz", "amp")})).alias("__f"))
+        raw = nodes2.join(per, [G, "node_id"])
     j = with_graph_stats(raw, F.max("__f").alias("__max"), F.avg("__f").alias("__avg"))
     scaled = F.col("__f") / F.col("__max") * F.lit(target) / (F.col("__avg") / F.col("__max"))
     out = j.withColumn("field", F.when(F.col("__max") > 0, clip(scaled, 0.0, 1.0)).otherwise(F.lit(0.0)))
@@ -248,12 +255,17 @@ def kernel_field(
 def site_mask(nodes: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
     """Nodes within `radius` of any site(graph_id,site,node_id); if none, the first site itself."""
     s = sites.join(nodes.select(G, "node_id", "x", "y", "z"), [G, "node_id"])
-    packed = s.groupBy(G).agg(
-        F.collect_list(F.struct("x", "y", "z")).alias("__p"), F.min_by("node_id", "site").alias("__first")
-    )
+    first = sites.groupBy(G).agg(F.min_by("node_id", "site").alias("__first"))
     sq = lambda a, b: (F.col(a) - b) * (F.col(a) - b)
     near = lambda p: sq("x", p["x"]) + sq("y", p["y"]) + sq("z", p["z"]) <= F.lit(radius * radius)
-    j = nodes.join(packed, G).withColumn("hit", F.exists("__p", near))
+    if largest_group(sites, [G]) <= PACKED_ROWS:
+        packed = s.groupBy(G).agg(F.collect_list(F.struct("x", "y", "z")).alias("__p"))
+        j = nodes.join(packed, G).join(first, G).withColumn("hit", F.exists("__p", near))
+    else:
+        far = s.select(G, *[F.col(c).alias(f"p{c}") for c in "xyz"])
+        pairs = salted(nodes.select(G, "node_id", "x", "y", "z"), far, [G], ["node_id"])
+        per = pairs.groupBy(G, "node_id").agg(F.bool_or(near({c: F.col(f"p{c}") for c in "xyz"})).alias("hit"))
+        j = nodes.join(per, [G, "node_id"]).join(first, G)
     j = with_graph_stats(j, F.max("hit").alias("__any"))
     hit = F.when(F.col("__any"), F.col("hit")).otherwise(F.col("node_id") == F.col("__first"))
     return j.withColumn("hit", hit).drop("__p", "__first", "__any")

@@ -139,8 +139,8 @@ def predict_logistic(rows: DataFrame, model: DataFrame, keys: Sequence[str], col
 
 def _train_rows(df: DataFrame, fold: str, name: str) -> DataFrame:
     """Each row once per fold it trains (all folds but its own)."""
-    ks = df.select(F.col(fold).alias(name)).distinct()
-    return df.join(F.broadcast(ks)).where(F.col(fold) != F.col(name))  # ks holds the fold numbers
+    ks = sorted(r[0] for r in df.select(fold).distinct().collect())  # the fold numbers
+    return df.select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias(name)).where(F.col(fold) != F.col(name))
 
 
 def oof_logistic(df: DataFrame, keys: Sequence[str], y: str, cols: Sequence[str], fold: str = "fold", penalty: float = 1.0, name: str = "prob") -> DataFrame:

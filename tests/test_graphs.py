@@ -245,3 +245,15 @@ def test_coarsen(spark):
     assert all(r["n"] <= 69 and r["e"] < 1e-9 for r in a)
     same, _ = mesh.coarsen(nodes, faces, 10_000)
     assert same.count() == nodes.count()
+
+
+def test_long_centre_lists_take_the_join(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    nodes = spark.createDataFrame([("g", i, *map(float, r.uniform(0, 1, 3))) for i in range(40)], "graph_id string, node_id long, x double, y double, z double").cache()
+    c = nodes.where("node_id < 9").selectExpr("graph_id", "x cx", "y cy", "z cz", "0.7D amp")
+    s = nodes.where("node_id in (3, 8)").selectExpr("graph_id", "node_id site", "node_id")
+    run = lambda: (mesh.kernel_field(nodes, c, 0.3, sigma=0.2).orderBy("node_id").toPandas().field, mesh.site_mask(nodes, s, 0.4).orderBy("node_id").toPandas().hit)
+    a = run()
+    monkeypatch.setattr(mesh, "PACKED_ROWS", 0)
+    b = run()
+    assert np.allclose(a[0], b[0]) and (a[1] == b[1]).all()
