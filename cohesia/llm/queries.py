@@ -49,3 +49,17 @@ def op10(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return predict(docs, train(docs))
+
+
+@query("op1_template_decontamination")
+def op1(spark, sf_dir):
+    from .templates import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_secret_scan")
+def op5(spark, sf_dir):
+    from .secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
