@@ -63,3 +63,18 @@ def op5(spark, sf_dir):
     from .secrets import find_secrets
 
     return find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op6_mix_sources")
+def op6(spark, sf_dir):
+    from .mixing import mix_sources, temperature_weights
+
+    docs = table(spark, sf_dir, "documents")
+    return mix_sources(docs, temperature_weights(docs)).select("doc_id", "source", "block", "release", "deadline", "slot", "place")
+
+
+@query("op7_quote_links")
+def op7(spark, sf_dir):
+    from .quotes import link_quotes
+
+    return link_quotes(table(spark, sf_dir, "conversations"))
