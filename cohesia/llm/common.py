@@ -9,11 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import scratch_path
+from ..plans.lineage import scratch_path, tune
 
 BATCH_BYTES = 1 << 20  # texts hashed together; bounds the temporaries of a task
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """The library's settings, and small Arrow batches: a batch of long texts must fit beside others."""
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

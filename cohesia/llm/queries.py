@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from ..plans.lineage import tune
-from .common import table
+from .common import table, tuned
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -11,7 +10,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(tune(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: fn(tuned(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -78,3 +77,10 @@ def op7(spark, sf_dir):
     from .quotes import link_quotes
 
     return link_quotes(table(spark, sf_dir, "conversations"))
+
+
+@query("op8_embedding_near_dedup")
+def op8(spark, sf_dir):
+    from .hnsw import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
