@@ -84,3 +84,10 @@ def op8(spark, sf_dir):
     from .hnsw import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+@query("op4_page_text")
+def op4(spark, sf_dir):
+    from .pages import extract
+
+    return extract(table(spark, sf_dir, "pages"))
