@@ -32,7 +32,7 @@ AGAINST = frozenset("ad ads adv advert adverts advertisement advertising banner
 FOR = frozenset("article articles post posts entry content contents main story body text prose markdown page hentry blogpost document doc".split())
 # Blocks that carry text and follow the state of the container around them.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote table thead tbody tfoot tr td th caption figure figcaption hgroup address summary".split())
-TEMPER = 0.25  # of the evidence of a run of text: runs are many and alike, so each counts less
+TEMPER = 0.25  # of the evidence of text and its blocks: they are many and alike, so each counts less
 LEVELS = ("none", "for", "against", "both")
 
 
@@ -202,7 +202,7 @@ class Model:
                 values[f[0]].add(f)
         self.ratio = {f: math.exp(math.log((emit[1][f] + smooth) / (kinds[1][f[0]] + smooth * (len(v) + 1))) - math.log((emit[0][f] + smooth) / (kinds[0][f[0]] + smooth * (len(v) + 1)))) for v in values.values() for f in v}
 
-    def marginals(self, nodes: list[Node]) -> list[float]:
+    def marginals(self, nodes: list[Node], root: list[float] | None = None) -> list[float]:
         """Probability of main text for each node, exact on the tree; messages are kept as pairs that sum to one."""
         place = {id(n): i for i, n in enumerate(nodes)}
         belief = []
@@ -211,7 +211,7 @@ class Model:
             r = 1.0
             for f in _features(n):
                 r *= ratio.get(f, 1.0)
-            if n.text is not None:
+            if _kind(n) != "container":
                 r **= TEMPER
             belief.append([1 / (1 + r), r / (1 + r)])
         parent = [-1 if n.parent is None else place[id(n.parent)] for n in nodes]
@@ -228,7 +228,8 @@ class Model:
             s = x + y
             p[0], p[1] = x / s, y / s
         out = [0.0] * len(nodes)
-        a, b = belief[0][0] * self.root[0], belief[0][1] * self.root[1]
+        root = root or self.root
+        a, b = belief[0][0] * root[0], belief[0][1] * root[1]
         out[0] = b / (a + b)
         for i in range(1, len(nodes)):
             leaf = _kind(nodes[i])
@@ -245,7 +246,11 @@ class Model:
         if not source:
             return ""
         nodes = parse(source)
-        return "\n\n".join(n.text for n, p in zip(nodes, self.marginals(nodes)) if n.text is not None and p > 0.5)
+        for root in (None, [0.0, 1.0]):  # a page that keeps nothing is read again as main text from its root down
+            kept = [n.text for n, p in zip(nodes, self.marginals(nodes, root)) if n.text is not None and p > 0.5]
+            if kept:
+                break
+        return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, labelled: list[str] = PAGES) -> DataFrame:
