@@ -151,6 +151,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; a repeated doc_id keeps one row."""
-    keep = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
+    """The rows of docs whose doc_id is the smallest of its group; of rows with equal doc_id and text one stays.
+
+    A row without doc_id stays unless its text repeats such a row.
+    """
+    keep = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
+    rows = docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
+    return rows.withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")

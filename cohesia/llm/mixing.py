@@ -48,7 +48,7 @@ def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame,
     before = Window.partitionBy("__s").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)  # at most `chunks` rows a source
     offsets = totals.select("__s", "__c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__o"))
     sources = totals.groupBy("__s").agg(F.ceil(F.sum("n") / block_chars).cast("long").alias("n"))
-    inner = Window.partitionBy("__s", "__c").orderBy("__h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("__s", "__c").orderBy("__h", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__b", F.coalesce(F.sum("__size").over(inner), F.lit(0))).join(F.broadcast(offsets) if chunks == LEAST_CHUNKS else offsets, ["__s", "__c"])
     at = F.col("__b") + F.col("__o")
     rows = rows.withColumn("block", F.floor(at / block_chars).cast("long")).withColumn("place", at - F.col("block") * block_chars)

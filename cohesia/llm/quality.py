@@ -128,14 +128,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees(base, *parts)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of docs(doc_id, text), learned from labels(doc_id, quality).
-
-    Rows whose crc32(doc_id) mod 3 is 1 are held out of the fit (a null doc_id: held_out null, never
-    learned from). Null labels and labels other than 0 and 1 are skipped, repeated ones count each.
-    The fit takes at most `max_rows` labelled rows, those of smallest hash. A null or empty text has
-    all statistics zero and is scored like any other; other columns are ignored. No labels: score 0.5.
-    """
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[DataFrame, Trees]:
+    """Statistics of every row (doc_id, x) on the shared folder, and the trees fitted to the labelled ones."""
 
     def measure(batches):
         for b in batches:
@@ -148,7 +142,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     marked = marked.where(remainder("doc_id", 3) != 1)
     sample = known.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(max_rows).select("x", "y").toPandas()
     x = np.array(sample["x"].tolist(), float).reshape(len(sample), len(FEATURES))
-    model = fit(x, sample["y"].to_numpy(float))
+    return known, fit(x, sample["y"].to_numpy(float))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of docs(doc_id, text), learned from labels(doc_id, quality).
+
+    Rows whose crc32(doc_id) mod 3 is 1 are held out of the fit (a null doc_id: held_out null, never
+    learned from). Null labels and labels other than 0 and 1 are skipped, repeated ones count each.
+    The fit takes at most `max_rows` labelled rows, those of smallest hash. A null or empty text has
+    all statistics zero and is scored like any other; other columns are ignored. No labels: score 0.5.
+    """
+
+    known, model = learn(docs, labels, max_rows)
 
     def apply(batches):
         for b in batches:
@@ -160,6 +166,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of docs that the classifier does not reject."""
-    bad = score_documents(docs, labels, max_rows).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that the classifier does not reject: a second pass over the texts, without a shuffle."""
+    _, model = learn(docs, labels, max_rows)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.score(statistics(b.column(at))) >= 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
