@@ -1,15 +1,20 @@
 """Token ids as length-delimited binary records with a separate offset index.
 
 A record is framed as: payload length (8 bytes), masked checksum of the length (4), payload, masked
-checksum of the payload (4), all little-endian. The payload is the document's ids as unsigned 32-bit
-integers. The checksum is crc32; the mask rotates it right by 15 bits and adds 0xa282ead8, so that
+checksum of the payload (4), all little-endian. The payload is the document's ids as unsigned integers
+of 2 bytes if the tokenizer has at most 65,536 ids, else 4 bytes. The checksum is crc32; the mask rotates it right by 15 bits and adds 0xa282ead8, so that
 checksums stored next to checksummed data stay distinct.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -23,9 +28,13 @@ from pyspark.sql import functions as F
 from ..plans.lineage import scratch_path, width
 
 SHARD_CHARS = 32 << 20  # text in a record file, about; files stay well below an executor's memory
-CACHE_WORDS = 300_000
+CACHE_PIECES = 1_200_000
 LONGEST_CACHED = 64
 HEAD = "<QI"
+# Characters outside the range where lower-casing and NFC change nothing else, and punctuation (no
+# apostrophe, no underscore) between such a letter or digit and the end of a word.
+OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
+ENDING = re.compile(r"(?<=[0-9a-z\u00df-\u00f6\u00f8-\u024f])([!-&(-/:-@\[-^`{-~]++)(?=[ \t\n\r0-9a-z\u00df-\u00f6\u00f8-\u024f]|\Z)")
 
 
 def masked(data: bytes) -> int:
@@ -39,10 +48,12 @@ def frame(payload: bytes) -> bytes:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes.
+    """Ids of whole texts as little-endian bytes, `width` bytes an id.
 
-    The tokenizer never joins text across white space, so a text's ids are those of its
-    space-separated pieces; pieces met before are looked up, the others go through the library.
+    The tokenizer never joins text across white space, so a text's ids are those of its space-separated
+    pieces. If it also lower-cases and splits letters from punctuation, texts of plain letters are
+    lower-cased and split so before, which leaves fewer different pieces. Pieces met before are looked
+    up; new ones go through the library, for many texts in one call.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -50,28 +61,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = b"" if end_id is None else struct.pack("<I", end_id)
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.end = b"" if end_id is None else end_id.to_bytes(self.width, "little")
+        told = json.loads(self.tokenizer.to_str())
+        split = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+        self.plain = "Lowercase" in json.dumps(told["normalizer"]) and split in json.dumps(told["pre_tokenizer"])
         self.known: dict[str, bytes] = {"": b""}
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-
-    def __call__(self, texts: Sequence[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            pieces = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            known = self.known
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            own: dict[str, bytes] = {}
-            if new:
-                if len(known) > CACHE_WORDS:
-                    known = self.known = {"": b""}
-                    new = [p for p in dict.fromkeys(pieces) if p]
-                for p, ids in zip(new, self._encode(new)):
-                    (known if len(p) <= LONGEST_CACHED else own)[p] = ids
-            if own:
-                yield b"".join([known[p] if p in known else own[p] for p in pieces]) + self.end
-            else:
-                yield b"".join(map(known.__getitem__, pieces)) + self.end
+    def _pieces(self, text: str | None) -> list[str]:
+        text = text or ""
+        if self.plain and "<|" not in text and not OTHER.search(text):
+            text = ENDING.sub(r" \1 ", text.lower())
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
+        if len(self.known) > CACHE_PIECES:
+            self.known = {"": b""}
+        rows = [self._pieces(t) for t in texts]
+        known = self.known
+        new = list(set().union(*rows) - known.keys())
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            flat = np.fromiter(itertools.chain.from_iterable(ids), f"<u{self.width}").tobytes()
+            ends = list(itertools.accumulate(self.width * len(i) for i in ids))
+            known.update(zip(part, [flat[x:y] for x, y in zip([0, *ends], ends)]))
+        out = [b"".join(map(known.__getitem__, row)) + self.end for row in rows]
+        for p in new:
+            if len(p) > LONGEST_CACHED:
+                del known[p]
+        return out
+
+
+def encoder(path: str, end_id: int | None) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that its pieces are learned once."""
+    held = sys.modules.setdefault("cohesia_encoders", types.ModuleType("cohesia_encoders"))
+    key = f"{path}|{end_id}"
+    if not hasattr(held, key):
+        setattr(held, key, Encoder(path, end_id))
+    return getattr(held, key)
 
 
 def write_records(docs: DataFrame, tokenizer: str, end_id: int | None = 2, order: Sequence[str] = ("doc_id",), label: str = "records") -> tuple[str, DataFrame]:
@@ -80,7 +108,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int | None = 2, order
     `docs` needs doc_id, text and the order columns; other columns are ignored. A null or empty text is
     a record of the end id alone; an empty table gives an empty index. Rows are dealt by range of the
     order, so file n holds records before those of file n + 1. The index (also a Parquet table under the
-    folder) has shard, seq, doc_id, file, offset and length. A file's name is unique to the attempt that
+    folder) has shard, seq, doc_id, file, offset, length and the width of an id in bytes. A file's name is unique to the attempt that
     wrote it and only the index names it, so retried tasks leave no double records.
     """
     spark = docs.sparkSession
@@ -95,7 +123,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int | None = 2, order
     def write(batches):
         from pyarrow import fs
 
-        encode = Encoder(tokenizer, end_id)
+        encode = encoder(tokenizer, end_id)
         shard, name, stream, at, seq = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.rec", None, 0, 0
         store, folder = fs.FileSystem.from_uri(base)
         for b in batches:
@@ -113,13 +141,13 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int | None = 2, order
                     at += len(record)
                 stream.write(b"".join(out))
             m = b.num_rows
-            yield pa.record_batch([pa.array([shard] * m, pa.int32()), pa.array(range(seq, seq + m), pa.int64()), b.column(0), pa.array([name] * m, pa.string()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], names=["shard", "seq", "doc_id", "file", "offset", "length"])
+            yield pa.record_batch([pa.array([shard] * m, pa.int32()), pa.array(range(seq, seq + m), pa.int64()), b.column(0), pa.array([name] * m, pa.string()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array([encode.width] * m, pa.int32())], names=["shard", "seq", "doc_id", "file", "offset", "length", "width"])
             seq += m
         if stream is not None:
             stream.close()
 
     path = f"{base}/index"
-    dealt.mapInArrow(write, f"shard int, seq long, doc_id {kind}, file string, offset long, length long").write.parquet(path)
+    dealt.mapInArrow(write, f"shard int, seq long, doc_id {kind}, file string, offset long, length long, width int").write.parquet(path)
     return base, spark.read.parquet(path)
 
 
@@ -138,7 +166,7 @@ def records(stream, where: str = "") -> Iterator[bytes]:
 def read_records(spark: SparkSession, base: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every record, read back from the files, by Spark tasks that take one file each."""
     index = spark.read.parquet(f"{base}/index")
-    files = index.groupBy("shard").agg(F.max("file").alias("file"))
+    files = index.groupBy("shard").agg(F.max("file").alias("file"), F.max("width").alias("width"))
     extra = ", ids array<long>" if with_ids else ""
 
     def read(batches):
@@ -146,12 +174,12 @@ def read_records(spark: SparkSession, base: str, with_ids: bool = False) -> Data
 
         store, folder = fs.FileSystem.from_uri(base)
         for b in batches:
-            for shard, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for shard, name, size in zip(*[c.to_pylist() for c in b.columns]):
                 before, rows = 0, []
                 with store.open_input_stream(f"{folder}/{name}", buffer_size=1 << 20) as stream:
                     for seq, payload in enumerate(records(stream, name)):
-                        ids = np.frombuffer(payload, "<u4")
-                        rows.append((shard, seq, before, len(ids), zlib.crc32(payload), *([ids.tolist()] if with_ids else [])))
+                        ids = np.frombuffer(payload, f"<u{size}").astype("<u4")
+                        rows.append((shard, seq, before, len(ids), zlib.crc32(ids.tobytes()), *([ids.tolist()] if with_ids else [])))
                         before += len(ids)
                         if len(rows) == 4096:
                             yield _batch(rows, with_ids)
@@ -180,13 +208,13 @@ def fetch(index_rows: DataFrame, base: str) -> DataFrame:
         store, folder = fs.FileSystem.from_uri(base)
         for b in batches:
             open_files, ids = {}, []
-            for name, offset, size in zip(*[b.column(c).to_pylist() for c in ("file", "offset", "length")]):
+            for name, offset, size in zip(*[b.column(c).to_pylist() for c in ("file", "offset", "width")]):
                 if name not in open_files:
                     open_files = {name: store.open_input_file(f"{folder}/{name}")} if len(open_files) > 64 else open_files | {name: store.open_input_file(f"{folder}/{name}")}
                 f = open_files[name]
                 f.seek(offset)
-                ids.append(np.frombuffer(next(records(f, name)), "<u4").astype("int64"))
+                ids.append(np.frombuffer(next(records(f, name)), f"<u{size}").astype("int64"))
             yield pa.record_batch([b.column("doc_id"), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    rows = index_rows.select("doc_id", "file", "offset", "length")
+    rows = index_rows.select("doc_id", "file", "offset", "width")
     return rows.mapInArrow(read, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<long>")
