@@ -11,7 +11,8 @@ from .common import remainder, slices, utf8
 
 ORDER = 3  # longest context in bytes
 SAMPLE_ROWS = 2_000  # documents a language learns from, about: those of smallest hash
-MAX_CONTEXTS = 24_000  # contexts of each order with a row of code lengths: the most frequent ones
+MAX_CONTEXTS = 12_000  # contexts of each order with a row of code lengths: the most frequent ones
+STEP_BYTES = 1 << 18  # texts scored together
 _ALPHA = np.zeros(256, bool)
 _ALPHA[65:91] = _ALPHA[97:123] = True
 
@@ -32,7 +33,7 @@ def count_contexts(sample: DataFrame) -> DataFrame:
         for b in batches:
             langs = b.column(0).to_numpy(zero_copy_only=False)
             raw, offsets = utf8(b.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, STEP_BYTES):
                 at = offsets[i : j + 1] - offsets[i]
                 buf, place = _padded(raw[offsets[i] : offsets[j]], at)
                 gram = np.zeros(len(place), np.int64)
@@ -57,7 +58,7 @@ class Model:
     def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.langs = langs
         seen = np.unique(np.concatenate([(gram >> (8 * k)) & 255 for k in range(ORDER + 1)] + [np.array([10])]))
-        self.symbol = np.full(256, len(seen), np.int64)
+        self.symbol = np.full(256, len(seen), np.int32)
         self.symbol[seen] = np.arange(len(seen))
         a = self.symbols = len(seen) + 1
         digits = [self.symbol[(gram >> (8 * k)) & 255] for k in range(ORDER, -1, -1)]
@@ -162,7 +163,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             raw, offsets = utf8(b.column(1))
             names, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
             letters = _letters(b.column(1), raw, offsets)
-            for i, j in slices(offsets) if model.langs else ():
+            for i, j in slices(offsets, STEP_BYTES) if model.langs else ():
                 bits = model.code_lengths(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 best = bits.argmin(1)
                 post = 1 / np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000)).sum(1)
