@@ -57,6 +57,8 @@ class Model:
 
     def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.langs = langs
+        if not langs:
+            return
         seen = np.unique(np.concatenate([(gram >> (8 * k)) & 255 for k in range(ORDER + 1)] + [np.array([10])]))
         self.symbol = np.full(256, len(seen), np.int32)
         self.symbol[seen] = np.arange(len(seen))

@@ -70,7 +70,7 @@ def schedule(sources: DataFrame, weights: DataFrame, round_blocks: int = ROUND_B
     one = one.select(F.transform("all", lambda s: F.struct(s["__s"].alias("s"), s["n"].alias("n"), F.coalesce(p(s), F.lit(1)).alias("p"))).alias("all"))
     cuts = F.flatten(F.transform("all", lambda s: F.array(F.lit(0).cast("long"), F.floor(s["n"] / s["p"]), F.ceil(s["n"] / s["p"]))))
     one = one.withColumn("cuts", F.array_sort(F.array_distinct(cuts)))
-    kinds = one.select("all", "cuts", F.posexplode(F.slice("cuts", F.lit(1), F.size("cuts") - 1)).alias("j", "first")).withColumn("last", F.get("cuts", F.col("j") + 1))
+    kinds = one.select("all", "cuts", F.posexplode(F.slice("cuts", F.lit(1), F.greatest(F.size("cuts") - 1, F.lit(0)))).alias("j", "first")).withColumn("last", F.get("cuts", F.col("j") + 1))
     left = lambda s: F.least(s["p"], s["n"] - F.col("first") * s["p"])
     kinds = kinds.withColumn("quota", F.filter(F.transform("all", lambda s: F.struct(s["s"].alias("s"), s["p"].alias("p"), left(s).alias("q"))), lambda s: s["q"] > 0))
     kinds = kinds.withColumn("size", F.aggregate("quota", F.lit(0).cast("long"), lambda acc, s: acc + s["q"]))
