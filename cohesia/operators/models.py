@@ -306,17 +306,24 @@ def holdout_eval(df: DataFrame, y: str, cols: Sequence[str], is_test: Column, pe
     return auc(predict_logistic(rows.where("__t"), m, ["one"], cols), ["one"], y, "prob").drop("one")
 
 
-def gate_chain(row: DataFrame, best_reference: float = 0.80, best_sd: float = 0.04, gate: float = 0.05, alpha: float = 0.05) -> DataFrame:
-    """Verdict from one row (delta, p, baseline_auc, p_noise): stop at the first check that fails."""
-    fired = (F.col("delta") >= gate) & (F.col("p") < alpha)
-    degraded = F.col("baseline_auc") < F.lit(best_reference - 2 * best_sd)
-    noisy = F.col("p_noise") >= alpha
+def gate_chain(rows: DataFrame, keys: Sequence[str], best_reference: float = 0.80, best_sd: float = 0.04, gate: float = 0.10, alpha: float = 0.05) -> DataFrame:
+    """Verdict per key from one row a classifier (delta, p, baseline_auc, p_noise): stop at the first check that fails.
+
+    The gate fires if any classifier's gain reaches it and its test rejects; the baseline is degraded if even
+    the best one is two deviations below the reference; noise explains the gain if its p exceeds alpha.
+    """
+    above = F.col("delta") >= gate
+    t = rows.groupBy(*keys).agg(
+        F.max(above & (F.col("p") < alpha)).alias("gate_fired"), (F.max("baseline_auc") < F.lit(best_reference - 2 * best_sd)).alias("degraded"),
+        (F.max("p_noise") > alpha).alias("noise_explains"), F.max(above).alias("_above"),
+    )
+    fired, degraded, noisy = F.col("gate_fired"), F.col("degraded"), F.col("noise_explains")
     met = fired & ~degraded & ~noisy
     verdict = (
         F.when(met, "met").when(fired & degraded, "not met: degraded baseline").when(fired, "not met: noise explains")
-        .when(F.col("delta") >= gate, "inconclusive: test does not reject").otherwise("inconclusive: underpowered")
+        .when(F.col("_above"), "inconclusive: test does not reject").otherwise("inconclusive: underpowered")
     )
-    return row.withColumns({"gate_fired": fired, "degraded": degraded, "noise_explains": noisy, "endpoint_met": met, "verdict": verdict, "next_stage": F.when(met, "eligible").otherwise("not tested")})
+    return t.withColumns({"endpoint_met": met, "verdict": verdict, "next_stage": F.when(met, "eligible").otherwise("not tested")}).drop("_above")
 
 
 def replicate_families(df: DataFrame, row_id: str, copies: int, cols: Sequence[str], jitter: float, seed: int) -> DataFrame:

@@ -216,15 +216,33 @@ def t49(spark, d):
     return t.select(r4("auc", 5).alias("auc"), F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
 
 
-@query("t50_gate_chain", k.q(S, delong_sql("scored", "lang", "low", "tokens", "digit_share"), "g AS (SELECT lang, delta, p, auc_b FROM dl)", body="""
-SELECT lang, delta >= 0.05 AND p < 0.05 AS gate_fired, auc_b < 0.72 AS degraded, delta >= 0.05 AND p < 0.05 AND NOT auc_b < 0.72 AS endpoint_met,
-  CASE WHEN delta >= 0.05 AND p < 0.05 AND NOT auc_b < 0.72 THEN 'met' WHEN delta >= 0.05 AND p < 0.05 THEN 'not met: degraded baseline'
-       WHEN delta >= 0.05 THEN 'inconclusive: test does not reject' ELSE 'inconclusive: underpowered' END AS verdict FROM g"""))
-def t50(spark, d):
-    from ..operators.statistics import delong
+NOISE_DRAWS = 200
+
+_NOISE = f"nd AS (SELECT lang, low, draw, {k.uniform(50, 'doc_id', 'draw')} AS u FROM scored CROSS JOIN (SELECT unnest(range({NOISE_DRAWS})) AS draw))"
+_ARMS = """arms AS MATERIALIZED (SELECT lang, 'tokens' AS clf, delta, p, auc_b FROM d1 UNION ALL SELECT lang, 'size', delta, p, auc_b FROM d2),
+nz AS MATERIALIZED (SELECT a.lang, clf, (1 + count(*) FILTER (auc - auc_b >= delta)) / (1 + count(*))::DOUBLE AS p_noise FROM arms a JOIN au n ON n.lang = a.lang GROUP BY ALL),
+g AS (SELECT a.lang, bool_or(delta >= 0.10 AND p < 0.05) AS gate_fired, max(auc_b) < 0.72 AS degraded, max(p_noise) > 0.05 AS noise_explains, bool_or(delta >= 0.10) AS above
+  FROM arms a JOIN nz ON nz.lang = a.lang AND nz.clf = a.clf GROUP BY a.lang)"""
 
-    t = delong(_scored(spark, d), ["lang"], "low", "tokens", "digit_share").select("lang", "delta", "p", F.col("auc_b").alias("baseline_auc"), F.lit(0.01).alias("p_noise"))
-    return md.gate_chain(t).select("lang", "gate_fired", "degraded", "endpoint_met", "verdict")
+
+@query("t50_gate_chain", k.q(S, delong_sql("scored", "lang", "low", "tokens", "digit_share", "d1"), delong_sql("scored", "lang", "low", "size", "digit_share", "d2"), _NOISE, auc_sql("nd", "lang, draw", "low", "u"), _ARMS, body="""
+SELECT lang, gate_fired, degraded, noise_explains, gate_fired AND NOT degraded AND NOT noise_explains AS endpoint_met,
+  CASE WHEN gate_fired AND NOT degraded AND NOT noise_explains THEN 'met' WHEN gate_fired AND degraded THEN 'not met: degraded baseline' WHEN gate_fired THEN 'not met: noise explains'
+       WHEN above THEN 'inconclusive: test does not reject' ELSE 'inconclusive: underpowered' END AS verdict,
+  CASE WHEN gate_fired AND NOT degraded AND NOT noise_explains THEN 'eligible' ELSE 'not tested' END AS next_stage FROM g"""))
+def t50(spark, d):
+    """Two arms against one baseline; p_noise is the share of pure noise columns that gain as much."""
+    from ..functions.rng import uniform
+    from ..operators.statistics import auc, delong
+
+    s = cut(_scored(spark, d))
+    arm = lambda c: delong(s, ["lang"], "low", c, "digit_share").select("lang", F.lit(c).alias("clf"), "delta", "p", F.col("auc_b").alias("baseline_auc"))
+    arms = cut(arm("tokens").union(arm("size")))
+    draws = s.select("doc_id", "lang", "low", F.explode(F.sequence(F.lit(0), F.lit(NOISE_DRAWS - 1))).alias("draw"))
+    noise = auc(draws.withColumn("u", uniform(50, "doc_id", "draw")), ["lang", "draw"], "low", "u").select("lang", F.col("auc").alias("noise_auc"))
+    ge = F.count_if(F.col("noise_auc") - F.col("baseline_auc") >= F.col("delta"))
+    p = arms.join(noise, "lang").groupBy("lang", "clf").agg(((ge + 1) / (F.count(F.lit(1)) + 1)).alias("p_noise"))
+    return md.gate_chain(arms.join(p, ["lang", "clf"]), ["lang"])
 
 
 @query("t51_subgroup_eval", k.q(S, "sub AS MATERIALIZED (SELECT *, 1 AS one FROM scored WHERE low = 0)", group_folds_sql("sub", "source", K), logit_sql("gf", "one", "toxic", "tokens"), auc_sql("lg", "one", "toxic", "prob"), body=f"SELECT {k.r4('auc', 5)} AS auc FROM au"))
