@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut, width
+from ..plans.lineage import cut
 
 G = "graph_id"
-LOCAL_EDGES = 200_000
+LOCAL_EDGES = 20_000
 
 
 def components(edges: DataFrame, nodes: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -54,38 +54,26 @@ def _label_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _label_all(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Min-label hooking with pointer jumping, O(log n) rounds in practice. A round does one
-    neighbour-min aggregation (combined before the shuffle), hooks each root onto the best
-    label any member saw, and halves the parent chains.
+    """Large-star and small-star rounds until the links are stars around the smallest ids.
+
+    Every node hands its smallest neighbour to its larger neighbours, then to its smaller ones and itself.
+    Minima are combined before the shuffle; a hub is only ever a hot key of a join whose other side has one
+    row for it, which AQE splits. O(log n) rounds in practice.
     """
-    links = edges.where("src <> dst").select(G, "src", "dst")
-    links = links.union(links.select(G, F.col("dst"), F.col("src"))).distinct()
-    links = links.repartition(width(edges.sparkSession), G, "src").persist()
-    state = cut(nodes.select(G, "node_id", F.col("node_id").alias("f")).distinct())
-    try:
-        for _ in range(max_rounds):
-            # Best neighbour label per node.
-            label = state.select(G, F.col("node_id").alias("src"), F.col("f").alias("lab"))
-            seen = links.join(label, [G, "src"]).groupBy(G, F.col("dst").alias("node_id")).agg(F.min("lab").alias("m"))
-            merged = state.join(seen, [G, "node_id"], "left").select(
-                G, "node_id", "f", F.least("f", F.coalesce("m", "f")).alias("m")
-            )
-            # Hook: the parent itself also adopts the best label among its members.
-            hook = merged.groupBy(G, F.col("f").alias("node_id")).agg(F.min("m").alias("h"))
-            hooked = merged.join(hook, [G, "node_id"], "left").select(
-                G, "node_id", F.col("f").alias("old"), F.least("m", F.coalesce("h", "m")).alias("f")
-            )
-            hooked = cut(hooked)
-            # Jump: follow the parent's parent.
-            up = hooked.select(G, F.col("node_id").alias("f"), F.col("f").alias("ff"))
-            jumped = hooked.join(up, [G, "f"]).select(G, "node_id", "old", F.least("f", "ff").alias("f"))
-            nxt = cut(jumped)
-            changed = nxt.where("old <> f").limit(1).count()
-            state = nxt.select(G, "node_id", "f")
-            if not changed:
-                return state.withColumnRenamed("f", "comp")
-    finally:
-        links.unpersist()
+    links = cut(edges.where("src <> dst").select(G, F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    state = None
+    for _ in range(max_rounds):
+        both = links.union(links.select(G, "b", "a")).toDF(G, "u", "v")
+        low = both.groupBy(G, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, [G, "u"]).where("v > u").select(G, F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy(G, "a").agg(F.min("b").alias("m"))
+        pair = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))
+        links = cut(large.join(low, [G, "a"]).select(G, F.explode(pair).alias("e")).select(G, "e.*").where("a <> b").distinct())
+        now = links.agg(F.count("a"), F.sum(F.xxhash64(G, "a", "b").cast("decimal(38,0)"))).first()
+        if now == state:
+            out = nodes.select(G, "node_id").distinct().join(links.withColumnRenamed("a", "node_id"), [G, "node_id"], "left")
+            return out.select(G, "node_id", F.coalesce("b", "node_id").alias("comp"))
+        state = now
     raise RuntimeError("components did not settle; raise max_rounds")
 
 

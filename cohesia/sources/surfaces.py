@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +12,11 @@ from ..functions.fields import field_bin, grid_region, ramp
 from ..operators import mesh
 from ..plans.joins import clip
 from ..plans.lineage import cut, width
-from ..plans.ordered import running_sums
+from ..plans.ordered import row_numbers, running_sums
 from .lines import numbered_lines, tokens
 
 G = "graph_id"
-HEADERS = "^(POINTS|POLYGONS|POINT_DATA|CELL_DATA|SCALARS|VECTORS|NORMALS|FIELD|METADATA|DATASET|LINES|VERTICES|TRIANGLE_STRIPS|ASCII|BINARY|#)"
+HEADERS = "(?i)^(POINTS|POLYGONS|POINT_DATA|CELL_DATA|SCALARS|VECTORS|NORMALS|FIELD|METADATA|DATASET|LINES|VERTICES|TRIANGLE_STRIPS|ASCII|BINARY|#)"
 
 
 # ---- ASCII polydata ----------------------------------------------------------------------------
@@ -31,10 +32,13 @@ def parse_vtk_ascii(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     text = lines.where(F.trim("line") != "").withColumn("head", F.trim("line").rlike(HEADERS))
     num = running_sums(text, [G], [F.col("line_no")], {"sec": F.col("head").cast("long")})
     num = cut(num.withColumn("sec", F.col("sec") + F.col("head").cast("long")).withColumn("tok", tokens(F.col("line"))))
-    heads = num.where("head").select(G, "sec", F.col("tok")[0].alias("kw"), F.get("tok", F.lit(1)).alias("name"))
+    heads = num.where("head").select(G, "sec", F.upper(F.col("tok")[0]).alias("kw"), F.get("tok", F.lit(1)).alias("name"))
     side = F.last(F.when(F.col("kw").isin("POINT_DATA", "CELL_DATA"), F.col("kw")), ignorenulls=True).over(Window.partitionBy(G).orderBy("sec"))  # a few headers per file
     heads = cut(heads.withColumn("side", side))
-    body = num.where(~F.col("head") & (F.col("tok")[0] != "LOOKUP_TABLE")).select(G, "sec", "line_no", "tok").join(heads, [G, "sec"])
+    files = num.select(G).distinct().join(heads.where("kw = 'POINTS'").select(G).distinct(), G, "left_anti").limit(5).collect()
+    if files:
+        raise ValueError(f"no POINTS section in {[r[0] for r in files]}")
+    body = num.where(~F.col("head") & (F.upper(F.col("tok")[0]) != "LOOKUP_TABLE")).select(G, "sec", "line_no", "tok").join(heads, [G, "sec"])
 
     def stream(part: DataFrame) -> DataFrame:
         run = running_sums(part, [G, "sec"], [F.col("line_no")], {"before": F.size("tok").cast("long")})
@@ -186,20 +190,39 @@ def load_tagged_surface(spark: SparkSession, path: str, drop=DEAD_TAGS):
 # ---- CARP text triples ---------------------------------------------------------------------------
 
 
+def _carp_file(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """Numbered token lines of <root>/<stem>.<kind> files, or of <root>/<kind>/graph_id=<id>/ part files."""
+    try:
+        lines = numbered_lines(spark, f"{root}/*.{kind}")
+    except AnalysisException:
+        lines = numbered_lines(spark, f"{root}/{kind}", F.regexp_extract("_path", r"graph_id=([^/]+)/", 1))
+    return lines.withColumn("t", tokens(F.col("line")))
+
+
+def _counted(lines: DataFrame) -> DataFrame:
+    """The lines that the count in each file's first line promises, without blank ones."""
+    size = lines.where("line_no = 0").select(G, F.col("t")[0].try_cast("long").alias("_n"))  # a row for each file
+    return lines.join(size, G).where((F.col("line_no") >= 1) & (F.col("line_no") <= F.col("_n")) & (F.trim("line") != ""))
+
+
 def read_carp(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, faces) from <root>/{pts,elem}/graph_id=<id>/ part files; fibres in lon are parsed elsewhere and not attached."""
-    stem = F.regexp_extract("_path", r"graph_id=([^/]+)/", 1)
-    pts = numbered_lines(spark, f"{root}/pts", stem).where("line_no > 0").withColumn("t", tokens(F.col("line")))
+    """(nodes, faces) of every triple under root, as files side by side or as written by `write_carp`.
+
+    Points keep their place, faces are numbered densely over the `Tr` elements; fibres are read by `read_carp_fibres`.
+    """
+    pts = _counted(_carp_file(spark, root, "pts"))
     nodes = pts.select(G, (F.col("line_no") - 1).alias("node_id"), *[F.col("t")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
-    el = numbered_lines(spark, f"{root}/elem", stem).where("line_no > 0").withColumn("t", tokens(F.col("line"))).where(F.col("t")[0] == "Tr")
-    faces = el.select(G, (F.col("line_no") - 1).alias("face_id"), *[F.col("t")[i + 1].cast("long").alias(c) for i, c in enumerate("abc")], F.col("t")[4].cast("int").alias("tag"))
+    el = _counted(_carp_file(spark, root, "elem")).where(F.col("t")[0] == "Tr")
+    el = row_numbers(el, [G], [F.col("line_no")], "face_id")
+    faces = el.select(G, "face_id", *[F.col("t")[i + 1].cast("long").alias(c) for i, c in enumerate("abc")], F.get("t", F.lit(4)).cast("int").alias("tag"))
     return nodes, faces
 
 
 def read_carp_fibres(spark: SparkSession, root: str) -> DataFrame:
-    stem = F.regexp_extract("_path", r"graph_id=([^/]+)/", 1)
-    lon = numbered_lines(spark, f"{root}/lon", stem).where("line_no > 0").withColumn("t", tokens(F.col("line")))
-    return lon.select(G, (F.col("line_no") - 1).alias("face_id"), *[F.col("t")[i].cast("double").alias(f"f{c}") for i, c in enumerate("xyz")])
+    """Fibre of each element: lines of three numbers. A first line of fewer is a header."""
+    lon = _carp_file(spark, root, "lon").where((F.size("t") >= 3) & F.expr("try_cast(t[0] AS double)").isNotNull())
+    lon = row_numbers(lon, [G], [F.col("line_no")], "face_id")
+    return lon.select(G, "face_id", *[F.col("t")[i].cast("double").alias(f"f{c}") for i, c in enumerate("xyz")])
 
 
 def write_ordered(lines: DataFrame, path: str) -> None:

@@ -93,13 +93,12 @@ def t21(spark, d):
 
 
 @query("t22_median_boot", k.q(k.VERDICTS, f"""
-b AS MATERIALIZED (SELECT cohort, subject, score, row_number() OVER (PARTITION BY cohort ORDER BY subject) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS n FROM verdicts WHERE tier = 1996),
-pk AS (SELECT cohort, rep, least(floor({k.uniform(21, 'cohort', 'rep', 'i')} * n), n - 1) AS j FROM b CROSS JOIN (SELECT unnest(range({N})) AS rep)),
-md AS (SELECT p.cohort, rep, median(score) AS m FROM pk p JOIN b ON b.cohort = p.cohort AND b.i = p.j GROUP BY ALL)""", body=f"SELECT cohort, {k.r4('quantile_cont(m, 0.025)', 4)} AS lo, {k.r4('quantile_cont(m, 0.975)', 4)} AS hi FROM md GROUP BY cohort"))
+b AS MATERIALIZED (SELECT cohort, tier, subject, score, row_number() OVER (PARTITION BY cohort, tier ORDER BY subject) - 1 AS i, count(*) OVER (PARTITION BY cohort, tier) AS n FROM verdicts),
+pk AS (SELECT cohort, tier, rep, least(floor({k.uniform(21, 'cohort', 'tier', 'rep', 'i')} * n), n - 1) AS j FROM b CROSS JOIN (SELECT unnest(range({N})) AS rep)),
+md AS (SELECT p.cohort, p.tier, rep, median(score) AS m FROM pk p JOIN b ON b.cohort = p.cohort AND b.tier = p.tier AND b.i = p.j GROUP BY ALL)""", body=f"SELECT cohort, tier, {k.r4('quantile_cont(m, 0.025)', 4)} AS lo, {k.r4('quantile_cont(m, 0.975)', 4)} AS hi FROM md GROUP BY cohort, tier"))
 def t22(spark, d):
-    v = cut(views.verdicts(spark, d).where("tier = 1996"))
-    t = st.median_boot(v, ["cohort"], "subject", "score", N, 21)
-    return t.select("cohort", r4("lo").alias("lo"), r4("hi").alias("hi"))
+    t = st.median_boot(cut(views.verdicts(spark, d)), ["cohort", "tier"], "subject", "score", N, 21)
+    return t.select("cohort", "tier", r4("lo").alias("lo"), r4("hi").alias("hi"))
 
 
 SHARES = """

@@ -90,13 +90,17 @@ def subject_features(edges, nodes, exact: bool = False):
     return out
 
 
+TIERS = range(1995, 2002)
+_BY_TIER = ", ".join(k.r4(f"coalesce(avg(score) FILTER (tier = {t}), 0)", 6) + f" AS s_{t}" for t in TIERS)
+
+
 @query("t02_design_matrix", k.q(k.VERDICTS, body=f"""
-SELECT subject AS graph_id, {k.r4('coalesce(avg(score) FILTER (tier = 1996), 0)', 6)} AS s_1996, {k.r4('coalesce(avg(score) FILTER (tier = 1997), 0)', 6)} AS s_1997, max(y) AS y, any_value(cohort) AS "group" FROM verdicts WHERE tier IN (1996, 1997) GROUP BY subject"""))
+SELECT subject AS graph_id, {_BY_TIER}, max(y) AS y, any_value(cohort) AS "group" FROM verdicts GROUP BY subject"""))
 def t02(spark, d):
-    v = cut(views.verdicts(spark, d).where("tier in (1996, 1997)"))
+    v = cut(views.verdicts(spark, d))
     f = v.select(F.col("subject").alias(G), F.concat(F.lit("s_"), F.col("tier").cast("string")).alias("name"), F.col("score").alias("value"))
     lab = v.groupBy(F.col("subject").alias(G)).agg(F.max("y").alias("y"), F.first("cohort").alias("group"))
-    return md.design_matrix(f, lab).select(G, r4("s_1996", 6).alias("s_1996"), r4("s_1997", 6).alias("s_1997"), "y", "group")
+    return md.design_matrix(f, lab).select(G, *[r4(f"s_{t}", 6).alias(f"s_{t}") for t in TIERS], "y", "group")
 
 
 @query("t03_feature_sets", k.q(S, body="SELECT doc_id, size, tokens FROM scored"))

@@ -201,21 +201,21 @@ def t34c(spark, d):
 
 
 ONE = "base AS MATERIALIZED (SELECT * FROM verdicts WHERE tier = 1996)"
-RHO = ONE + """,
-rk AS (SELECT cohort, y, row_number() OVER (PARTITION BY cohort ORDER BY score, subject) AS ra, row_number() OVER (PARTITION BY cohort ORDER BY y, subject) AS rb FROM base),
-rho AS MATERIALIZED (SELECT cohort, corr(ra, rb) AS rho, avg(y) AS rate, count(*) AS n FROM rk GROUP BY cohort)"""
+RHO = """
+rk AS (SELECT cohort, tier, y, row_number() OVER (PARTITION BY cohort, tier ORDER BY score, subject) AS ra, row_number() OVER (PARTITION BY cohort, tier ORDER BY y, subject) AS rb FROM verdicts),
+rho AS MATERIALIZED (SELECT cohort, tier, corr(ra, rb) AS rho, avg(y) AS rate, count(*) AS n FROM rk GROUP BY cohort, tier)"""
 
 
-@query("t35_spearman", k.q(V, RHO, body=f"SELECT cohort, {k.r4('rho', 6)} AS rho, n FROM rho"))
+@query("t35_spearman", k.q(V, RHO, body=f"SELECT cohort, tier, {k.r4('rho', 6)} AS rho, n FROM rho"))
 def t35(spark, d):
-    v = views.verdicts(spark, d).where("tier = 1996")
-    return st.spearman(v, ["cohort"], "score", "y", "subject").select("cohort", r4("rho", 6).alias("rho"), "n")
+    v = views.verdicts(spark, d)
+    return st.spearman(v, ["cohort", "tier"], "score", "y", "subject").select("cohort", "tier", r4("rho", 6).alias("rho"), "n")
 
 
-@query("t36_calibration_gate", k.q(V, RHO, body=f"SELECT cohort, {k.r4('rho', 6)} AS rho, {k.r4('rate', 6)} AS rate, rate BETWEEN 0.10 AND 0.40 AND rho > 0 AS gate FROM rho"))
+@query("t36_calibration_gate", k.q(V, RHO, body=f"SELECT cohort, tier, {k.r4('rho', 6)} AS rho, {k.r4('rate', 6)} AS rate, rate BETWEEN 0.10 AND 0.40 AND rho > 0 AS gate FROM rho"))
 def t36(spark, d):
-    v = views.verdicts(spark, d).where("tier = 1996")
-    return st.calibration_gate(v, ["cohort"], "y", "score", "subject").select("cohort", r4("rho", 6).alias("rho"), r4("rate", 6).alias("rate"), "gate")
+    v = views.verdicts(spark, d)
+    return st.calibration_gate(v, ["cohort", "tier"], "y", "score", "subject").select("cohort", "tier", r4("rho", 6).alias("rho"), r4("rate", 6).alias("rate"), "gate")
 
 
 @query("t37_arm_summary", k.q(V, body=f"""

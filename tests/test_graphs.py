@@ -257,3 +257,39 @@ def test_long_centre_lists_take_the_join(spark, monkeypatch):
     monkeypatch.setattr(mesh, "PACKED_ROWS", 0)
     b = run()
     assert np.allclose(a[0], b[0]) and (a[1] == b[1]).all()
+
+
+def test_carp_triple_side_by_side(spark, tmp_path):
+    from cohesia.sources import surfaces
+
+    (tmp_path / "m1.pts").write_text("3\n0 0 0\n1 0 0\n0 1 0\n\n")
+    (tmp_path / "m1.elem").write_text("3\nLn 0 1 7\nTr 0 1 2 5\n\n")
+    (tmp_path / "m1.lon").write_text("1 0 0\n")
+    (tmp_path / "m2.pts").write_text("3\n0 0 0\n1 0 0\n0 1 0\nextra\n")
+    (tmp_path / "m2.elem").write_text("1\nTr 0 2 1\nTr 9 9 9\n")
+    (tmp_path / "m2.lon").write_text("1\n0 1 0\n")
+    nodes, faces = surfaces.read_carp(spark, str(tmp_path))
+    assert nodes.groupBy("graph_id").count().orderBy("graph_id").collect() == [("m1", 3), ("m2", 3)]
+    assert [tuple(r) for r in faces.orderBy("graph_id").collect()] == [("m1", 0, 0, 1, 2, 5), ("m2", 0, 0, 2, 1, None)]
+    fib = surfaces.read_carp_fibres(spark, str(tmp_path)).orderBy("graph_id").collect()
+    assert [tuple(r) for r in fib] == [("m1", 0, 1.0, 0.0, 0.0), ("m2", 0, 0.0, 1.0, 0.0)]
+
+
+def test_vtk_keywords_in_any_case(spark, tmp_path):
+    from cohesia.sources import surfaces
+
+    body = "# vtk DataFile Version 3.0\nx\nASCII\nDataset polydata\npoints 3 float\n0 0 0 1 0 0\n0 1 0\npolygons 1 4\n3 0 1 2\n"
+    (tmp_path / "a.vtk").write_text(body)
+    nodes, faces, _, _ = surfaces.read_vtk_ascii(spark, str(tmp_path / "a.vtk"))
+    assert nodes.count() == 3 and faces.count() == 1
+    (tmp_path / "b.vtk").write_text(body.replace("points", "pints"))
+    with pytest.raises(ValueError):
+        surfaces.read_vtk_ascii(spark, str(tmp_path / "b.vtk"))
+
+
+def test_gate_chain_takes_the_best_classifier(spark):
+    from cohesia.operators import models
+
+    rows = [("a", .12, .01, .80, .01), ("a", .02, .60, .70, .02), ("b", .07, .01, .80, .01), ("c", .12, .01, .60, .01), ("d", .12, .01, .80, .05), ("e", .12, .01, .80, .06), ("f", .12, .20, .80, .01)]
+    got = {r.k: r.verdict for r in models.gate_chain(spark.createDataFrame(rows, "k string, delta double, p double, baseline_auc double, p_noise double"), ["k"]).collect()}
+    assert got == {"a": "met", "b": "inconclusive: underpowered", "c": "not met: degraded baseline", "d": "met", "e": "not met: noise explains", "f": "inconclusive: test does not reject"}
