@@ -15,7 +15,7 @@ DEGREE = 12  # links a node makes in each layer; layer 0 holds twice as many
 BEAM = 48
 AUDIT = 64  # queries of a block that are also compared with the whole shard
 RECALL = 0.999  # of the audited links; below it the beam doubles
-WIDE = 4  # nodes a search expands at once
+WIDE = 4  # nodes a search expands at once, at least
 CELLS = 1 << 19  # queries times beam held at once
 
 
@@ -35,9 +35,10 @@ def _search(x: np.ndarray, near: np.ndarray, q: np.ndarray, entry: np.ndarray, b
     seen[rows, np.maximum(entry, 0)] = True
     fresh = sims > -2
     live = np.arange(n)
+    wide = max(WIDE, beam // 8)
     while len(live):
         part = np.where(fresh[live], sims[live], np.float32(-3))
-        top = np.argpartition(-part, min(WIDE, beam - 1), 1)[:, :WIDE]
+        top = np.argpartition(-part, min(wide, beam - 1), 1)[:, :wide]
         r = np.arange(len(live))[:, None]
         good = part[r, top] > -3
         fresh[live[:, None], top] = False
@@ -204,12 +205,16 @@ def _pairs(graph: Graph, vectors: np.ndarray, q: np.ndarray, least: float) -> tu
             again = []
             for s in range(0, len(todo), max(1, min(1024, CELLS // width))):
                 part = todo[s : s + max(1, min(1024, CELLS // width))]
+                if width > beam and 8 * width >= len(vectors):  # a beam this wide costs more than the whole shard
+                    r, c = np.nonzero(unit[part] @ graph.x.T >= near_least)
+                    got_a.append(part[r]), got_b.append(c)
+                    continue
                 ids, sims = graph.find(unit[part], width)
                 open_ = (sims[:, -1] >= near_least) & (width < len(vectors))
                 again.append(part[open_])
                 r, c = np.nonzero((sims >= near_least) & ~open_[:, None] & (ids >= 0))
                 got_a.append(part[r]), got_b.append(ids[r, c])
-            todo, width = np.concatenate(again), 2 * width
+            todo, width = np.concatenate(again) if again else todo[:0], 2 * width
         a, b = sure(np.concatenate(got_a), np.concatenate(got_b))
         if not len(truth) or np.isin(truth, a * len(vectors) + b).mean() >= RECALL or beam >= len(vectors):
             return a, b
