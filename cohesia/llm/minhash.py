@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("id") / TILE).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "component").select("id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    tiled = placed.join(text, "id")
+    tiled = placed.hint("merge").join(text, "id")  # the same plan at every size
     tiled = tiled.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block", "id", "text")
     tiled = tiled.select("component", F.least("other", "block").alias("lo"), F.greatest("other", "block").alias("hi"), "id", "text")
 
