@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.joins import clip
-from ..plans.lineage import cut, width
+from ..plans.lineage import cut
 from .mesh import edge_length
 
 G = "graph_id"
@@ -58,27 +58,24 @@ def _relax_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _relax_all(costs: DataFrame, sources: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """Only nodes improved in the previous hop send; arrivals are min-combined before the shuffle."""
-    links = costs.union(costs.select(G, F.col("dst"), F.col("src"), "cost")).repartition(width(costs.sparkSession), G, "src").persist()
+    links = cut(costs.union(costs.select(G, F.col("dst"), F.col("src"), "cost")))  # not dealt by node: AQE splits a hub's join
     start = sources.select(G, "node_id", F.lit(0.0).alias("d")).distinct()
     state = cut(start.withColumn("moved", F.lit(True)))
-    try:
-        for _ in range(max_rounds):
-            send = state.where("moved").select(G, F.col("node_id").alias("src"), "d")
-            got = links.join(send, [G, "src"]).select(G, F.col("dst").alias("node_id"), (F.col("d") + F.col("cost")).alias("d"), F.lit(None).cast("double").alias("old"))
-            both = got.union(state.select(G, "node_id", "d", F.col("d").alias("old")))
-            best = both.groupBy(G, "node_id").agg(F.min("d").alias("d"), F.max("old").alias("old"))
-            state = best.select(G, "node_id", "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("moved"))
-            state = cut(state)
-            if state.where("moved").limit(1).count() == 0:
-                return state.select(G, "node_id", "d")
-    finally:
-        links.unpersist()
+    for _ in range(max_rounds):
+        send = state.where("moved").select(G, F.col("node_id").alias("src"), "d")
+        got = links.join(send, [G, "src"]).select(G, F.col("dst").alias("node_id"), (F.col("d") + F.col("cost")).alias("d"), F.lit(None).cast("double").alias("old"))
+        both = got.union(state.select(G, "node_id", "d", F.col("d").alias("old")))
+        best = both.groupBy(G, "node_id").agg(F.min("d").alias("d"), F.max("old").alias("old"))
+        state = best.select(G, "node_id", "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("moved"))
+        state = cut(state)
+        if state.where("moved").limit(1).count() == 0:
+            return state.select(G, "node_id", "d")
     raise RuntimeError("shortest paths did not settle")
 
 
-def geodesic_from(edges: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
+def geodesic_from(edges: DataFrame, nodes: DataFrame, sources: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Geometric distance along edges from one source per graph."""
-    return shortest_paths(edge_length(edges.select(G, "src", "dst"), nodes).withColumnRenamed("length", "cost"), nodes, sources)
+    return shortest_paths(edge_length(edges.select(G, "src", "dst"), nodes).withColumnRenamed("length", "cost"), nodes, sources, local_edges)
 
 
 def activation_costs(edges: DataFrame, nodes: DataFrame) -> DataFrame:

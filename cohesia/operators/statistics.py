@@ -335,8 +335,8 @@ def power_grid(cells: DataFrame, sims: int, seed: int, alpha: float = 0.05) -> D
 
 
 def required_n(targets: DataFrame, sims: int, seed: int, power: float = 0.80, lo: int = 40, hi: int = 4000, base: float = 0.70) -> DataFrame:
-    """Smallest size reaching `power` per targets(cell, delta, r, event_rate); all cells bisect together."""
-    st = [dict(r.asDict(), lo=lo, hi=hi, best=hi) for r in targets.collect()]  # one row per grid cell
+    """Smallest size in [lo, hi] reaching `power` per targets(cell, delta, r, event_rate), NULL if none does; all cells bisect together."""
+    st = [dict(r.asDict(), lo=lo, hi=hi, best=None) for r in targets.collect()]  # one row per grid cell
     spark = targets.sparkSession
     while any(s["lo"] <= s["hi"] for s in st):
         live = [s for s in st if s["lo"] <= s["hi"]]

@@ -194,12 +194,25 @@ ACT_COSTS = """
 acost AS MATERIALIZED (SELECT graph_id, src, dst, greatest(length, 1e-12) / sqrt(least(greatest(w / max(w) OVER (PARTITION BY graph_id), 1e-12), 1)) AS cost FROM costs)"""
 
 
-@query("c10_geodesic", k.q(k.SPARSE, LENGTHS, "gc AS (SELECT graph_id, src, dst, length AS cost FROM costs)", SITES, relax("gc", "sites", rounds=24), body=f"""
-SELECT n.graph_id, n.node_id, {k.r4('dist')} AS dist FROM nodes n LEFT JOIN dist USING (graph_id, node_id)""", recursive=True))
-def c10(spark, d):
+_GEODESIC = k.q(k.SPARSE, LENGTHS, "gc AS (SELECT graph_id, src, dst, length AS cost FROM costs)", SITES, relax("gc", "sites", rounds=24), body=f"""
+SELECT n.graph_id, n.node_id, {k.r4('dist')} AS dist FROM nodes n LEFT JOIN dist USING (graph_id, node_id)""", recursive=True)
+
+
+def _geodesic(spark, d, **route):
     nodes, edges = views.sparse_trade(spark, d)
     sites = nodes.groupBy(G).agg(F.min("node_id").alias("node_id"))
-    return paths.geodesic_from(edges, nodes, sites).select(G, "node_id", r4("dist").alias("dist"))
+    return paths.geodesic_from(edges, nodes, sites, **route).select(G, "node_id", r4("dist").alias("dist"))
+
+
+@query("c10_geodesic", _GEODESIC)
+def c10(spark, d):
+    return _geodesic(spark, d)
+
+
+@query("c10_geodesic_joined", _GEODESIC)
+def c10j(spark, d):
+    """The join route, whatever the size of the graphs."""
+    return _geodesic(spark, d, local_edges=0)
 
 
 @query("c11_activation", k.q(SURF, LENGTHS, ACT_COSTS, SITES, relax("acost", "sites", rounds=90), body=f"""

@@ -312,7 +312,7 @@ def t45n(spark, d):
     """Size needed at the observed share of low-quality documents; simulation-driven, so rows only."""
     rate = views.scored(spark, d).agg(F.avg(F.col("low").cast("double")).alias("event_rate"))
     t = rate.select(F.lit("delta10").alias("cell"), F.lit(0.10).alias("delta"), F.lit(0.5).alias("r"), "event_rate")
-    return st.required_n(t, 40, 5, lo=40, hi=640)
+    return st.required_n(t, 40, 5)
 
 
 @query("t55_elementary_effects", k.q(V, """
