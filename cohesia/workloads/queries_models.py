@@ -57,6 +57,26 @@ def logit_sql(table: str, key: str, y: str, x: str, name: str = "lg", rounds: in
     return ",".join(out)
 
 
+def logit2_sql(table: str, key: str, y: str, x1: str, x2: str, name: str = "lq", rounds: int = 12) -> str:
+    """As `logit_sql` for two columns; each Newton step solves its 3 x 3 system by cofactors."""
+    p = "1 / (1 + exp(-(a + b * z1 + c * z2)))"
+    out = [f"""
+{name}_t AS (SELECT a.*, b.fold AS f FROM {table} a JOIN (SELECT DISTINCT {key}, fold FROM {table}) b ON a.{key} = b.{key} AND a.fold <> b.fold),
+{name}_m AS MATERIALIZED (SELECT {key}, f, avg({x1}) AS m1, stddev_pop({x1}) AS s1, avg({x2}) AS m2, stddev_pop({x2}) AS s2 FROM {name}_t GROUP BY ALL),
+{name}_z AS MATERIALIZED (SELECT t.{key}, t.f, {y} AS y, ({x1} - m1) / s1 AS z1, ({x2} - m2) / s2 AS z2 FROM {name}_t t JOIN {name}_m g ON g.{key} = t.{key} AND g.f = t.f),
+{name}_w0 AS (SELECT {key}, f, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM {name}_m)"""]
+    for i in range(rounds):
+        out.append(f"""
+{name}_h{i} AS (SELECT {key}, f, a, b, c, sum(mu - y) + a AS g0, sum((mu - y) * z1) + b AS g1, sum((mu - y) * z2) + c AS g2, sum(v) + 1 AS p, sum(v * z1) AS q, sum(v * z2) AS r, sum(v * z1 * z1) + 1 AS s, sum(v * z1 * z2) AS t, sum(v * z2 * z2) + 1 AS u
+  FROM (SELECT *, mu * (1 - mu) AS v FROM (SELECT z.*, a, b, c, {p} AS mu FROM {name}_z z JOIN {name}_w{i} w ON w.{key} = z.{key} AND w.f = z.f)) GROUP BY {key}, f, a, b, c),
+{name}_d{i} AS (SELECT *, p * (s * u - t * t) - q * (q * u - t * r) + r * (q * t - s * r) AS det FROM {name}_h{i}),
+{name}_w{i + 1} AS MATERIALIZED (SELECT {key}, f, a - (g0 * (s * u - t * t) - g1 * (q * u - t * r) + g2 * (q * t - s * r)) / det AS a,
+  b - (-g0 * (q * u - r * t) + g1 * (p * u - r * r) - g2 * (p * t - q * r)) / det AS b, c - (g0 * (q * t - r * s) - g1 * (p * t - r * q) + g2 * (p * s - q * q)) / det AS c FROM {name}_d{i})""")
+    out.append(f"""
+{name} AS MATERIALIZED (SELECT t.*, 1 / (1 + exp(-(a + b * ({x1} - m1) / s1 + c * ({x2} - m2) / s2))) AS prob2 FROM {table} t JOIN {name}_w{rounds} w ON w.{key} = t.{key} AND w.f = t.fold JOIN {name}_m g ON g.{key} = t.{key} AND g.f = t.fold)""")
+    return ",".join(out)
+
+
 ONE = "src AS MATERIALIZED (SELECT *, 1 AS one FROM scored)"
 
 
@@ -135,8 +155,7 @@ def t07(spark, d):
 
 @query("t08_oof_boosted", k.q(S, body="SELECT count(*) AS n, true AS in_range FROM scored"))
 def t08(spark, d):
-    """Two folds of the full 120-tree model."""
-    p = md.oof_boosted(md.group_folds(_scored(spark, d), "source", 2), "low", BASE + EXTRA)
+    p = md.oof_boosted(md.group_folds(_scored(spark, d), "source", K), "low", BASE + EXTRA)
     return p.agg(F.count(F.lit(1)).alias("n"), F.min(F.col("prob").between(0, 1)).alias("in_range"))
 
 
@@ -150,11 +169,13 @@ def t12(spark, d):
     return t.select(*[r4(c, 5).alias(c) for c in t.columns])
 
 
-@query("t15_evaluate_pair", k.q(S, body="SELECT 'lr' AS clf, true AS sane, true AS ordered"))
+@query("t15_evaluate_pair", k.q(S, *SCHEMES[:4], logit2_sql("lg", "scheme", "low", "tokens", "digit_share"), delong_sql("lq", "scheme", "low", "prob2", "prob"), body=f"""
+SELECT 'lr' AS clf, {k.r4("max(auc_b) FILTER (scheme = 'grouped')", 5)} AS auc_base, {k.r4("max(auc_a) FILTER (scheme = 'grouped')", 5)} AS auc_full, {k.r4("max(delta) FILTER (scheme = 'grouped')", 5)} AS delta,
+  {k.r4("max(p) FILTER (scheme = 'grouped')", 4)} AS p, {k.r4("max(delta) FILTER (scheme = 'naive')", 5)} AS naive_delta, coalesce(bool_or(delta >= 0.05 AND p < 0.05) FILTER (scheme = 'grouped'), false) AS gate, true AS ordered FROM dl"""))
 def t15(spark, d):
-    t = md.evaluate_pair(_scored(spark, d), "doc_id", "low", BASE, EXTRA, "source", K, draws=100)
-    sane = F.col("auc_base").between(0, 1) & F.col("auc_full").between(0, 1) & F.col("p").between(0, 1)
-    return t.select("clf", sane.alias("sane"), (F.col("boot_lo") <= F.col("boot_hi")).alias("ordered"))
+    t = md.evaluate_pair(_scored(spark, d), "doc_id", "low", ["tokens"], ["digit_share"], "source", K, draws=100)
+    fine = [r4(c, 5).alias(c) for c in ("auc_base", "auc_full", "delta")]
+    return t.select("clf", *fine, r4("p").alias("p"), r4("naive_delta", 5).alias("naive_delta"), "gate", (F.col("boot_lo") <= F.col("boot_hi")).alias("ordered"))
 
 
 @query("t26_ladder", k.q(S, "r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM scored), l AS MATERIALIZED (SELECT r.*, rung FROM r CROSS JOIN (SELECT unnest([100, 200, 300, 1000000]) AS rung) WHERE i < rung AND rung <= n)", auc_sql("l", "rung", "low", "tokens"),
@@ -258,12 +279,20 @@ def t51(spark, d):
     return auc(md.oof_logistic(sub, ["one"], "toxic", ["tokens"]), ["one"], "toxic", "prob").select(r4("auc", 5).alias("auc"))
 
 
-@query("t52_leakage_gap", k.q(S, body="SELECT true AS sane, count(*) * 3 AS rows FROM scored"))
+COPIES = 6
+_FAMILIES = f"""
+rep AS MATERIALIZED (SELECT doc_id * {COPIES} + copy AS row_id, doc_id AS family, low, {", ".join(f"{c} * (1 + 0.05 * {k.normal(4, 'doc_id', 'copy', str(i))}) AS {c}" for i, c in enumerate(BASE))}
+  FROM scored CROSS JOIN (SELECT unnest(range({COPIES})) AS copy))"""
+
+
+@query("t52_leakage_gap", k.q(S, _FAMILIES, group_folds_sql("rep", "family", K), shuffled_sql("rep", "row_id", K, 0), "both_s AS MATERIALIZED (SELECT 'grouped' AS scheme, * FROM gf UNION ALL BY NAME SELECT 'naive' AS scheme, * FROM sf)",
+    logit2_sql("both_s", "scheme", "low", *BASE), auc_sql("lq", "scheme", "low", "prob2"), body=f"""
+SELECT {k.r4("max(auc) FILTER (scheme = 'grouped')", 5)} AS auc_grouped, {k.r4("max(auc) FILTER (scheme = 'naive')", 5)} AS auc_naive, {k.r4("max(auc) FILTER (scheme = 'naive') - max(auc) FILTER (scheme = 'grouped')", 5)} AS leak, (SELECT count(*) FROM rep) AS rows FROM au"""))
 def t52(spark, d):
-    rep = cut(md.replicate_families(_scored(spark, d), "doc_id", 3, BASE, 0.05, 4))
+    rep = cut(md.replicate_families(_scored(spark, d), "doc_id", COPIES, BASE, 0.05, 4))
     t = md.grouped_vs_naive(rep, "row_id", "low", BASE, "family", K)
     n = rep.agg(F.count(F.lit(1)).alias("rows"))
-    return t.select((F.col("auc_grouped").between(0, 1) & F.col("auc_naive").between(0, 1)).alias("sane")).crossJoin(n)
+    return t.select(*[r4(c, 5).alias(c) for c in t.columns]).crossJoin(n)
 
 
 @query("t53_matched_n", k.q(S, "m AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM scored) WHERE i <= 60)", auc_sql("m", "lang", "low", "tokens"), body=f"SELECT lang, {k.r4('auc', 6)} AS auc FROM au"))
