@@ -8,6 +8,7 @@ aggregated Gram sum per fit; only p x p sums of each fit reach the driver, as in
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -180,17 +181,18 @@ def oof_boosted(df: DataFrame, y: str, cols: Sequence[str], fold: str = "fold",
     from pyspark.ml.functions import vector_to_array
 
     vec = cut(VectorAssembler(inputCols=list(cols), outputCol="__x").transform(df).withColumn("__y", F.col(y).cast("double")))
-    parts = []
-    for r in vec.select(fold).distinct().collect():
-        k = r[0]
+
+    def one(k):
         train, test = vec.where(F.col(fold) != k), vec.where(F.col(fold) == k)
         prior = train.agg(F.avg("__y")).first()[0]
         if prior in (0.0, 1.0):
-            parts.append(test.withColumn(name, F.lit(prior)).drop("__x", "__y"))
-            continue
+            return test.withColumn(name, F.lit(prior)).drop("__x", "__y")
         m = GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=trees, maxDepth=2, stepSize=0.05, subsamplingRate=0.8, seed=seed).fit(train)
-        parts.append(m.transform(test).withColumn(name, vector_to_array("probability")[1]).drop("__x", "__y", "rawPrediction", "probability", "prediction"))
-    return reduce(DataFrame.union, parts)
+        return m.transform(test).withColumn(name, vector_to_array("probability")[1]).drop("__x", "__y", "rawPrediction", "probability", "prediction")
+
+    folds = [r[0] for r in vec.select(fold).distinct().collect()]  # a handful, set by the caller
+    with ThreadPoolExecutor(len(folds) or 1) as pool:  # the fits' jobs run side by side
+        return reduce(DataFrame.union, pool.map(one, folds))
 
 
 # ---- evaluation --------------------------------------------------------------------------------
