@@ -315,8 +315,20 @@ def t54(spark, d):
     return t.select(G, "mu", r4("total", 3).alias("total"), r4("region_max", 3).alias("region_max"))
 
 
-@query("t57_compare_variants", k.q(S, "c AS (SELECT lang AS cohort, low FROM scored UNION ALL SELECT 'combined', low FROM scored), ok AS (SELECT cohort FROM c GROUP BY cohort HAVING sum(low) >= 2 AND count(*) - sum(low) >= 2)", body="""
-SELECT cohort, base, addon, true AS sane FROM ok CROSS JOIN (SELECT unnest(['length', 'size']) AS base) CROSS JOIN (SELECT unnest(['digits', 'blanks', 'all']) AS addon)"""))
+_COHORTS = f"""
+cr AS MATERIALIZED (SELECT lang AS cohort, * EXCLUDE (lang) FROM scored UNION ALL SELECT 'combined', * EXCLUDE (lang) FROM scored),
+ck AS (SELECT cohort FROM cr GROUP BY cohort HAVING sum(low) >= 2 AND count(*) - sum(low) >= 2),
+cg AS (SELECT cohort, source, row_number() OVER (PARTITION BY cohort ORDER BY count(*) DESC, source) - 1 AS r, count(*) OVER (PARTITION BY cohort) AS g FROM cr JOIN ck USING (cohort) GROUP BY cohort, source),
+cf AS MATERIALIZED (SELECT cr.*, CAST(r % greatest(least({K}, g), 2) AS INTEGER) AS fold FROM cr JOIN cg USING (cohort, source))"""
+_BASES, _ADDONS = ("tokens", "size"), ("digit_share", "blank_share")
+_FITS = [logit_sql("cf", "cohort", "low", b, name=f"l_{b}") for b in _BASES]
+_FITS += [logit2_sql(f"l_{b}", "cohort", "low", b, a, name=f"l_{b}_{a}") for b in _BASES for a in _ADDONS]
+_FITS += [delong_sql(f"l_{b}_{a}", "cohort", "low", "prob2", "prob", f"d_{b}_{a}") for b in _BASES for a in _ADDONS]
+
+
+@query("t57_compare_variants", k.q(S, _COHORTS, *_FITS, body=" UNION ALL ".join(f"SELECT cohort, '{b}' AS base, '{a}' AS addon, {k.r4('auc_b', 5)} AS auc_base, {k.r4('auc_a', 5)} AS auc_full, {k.r4('p', 4)} AS p FROM d_{b}_{a}" for b in _BASES for a in _ADDONS)))
 def t57(spark, d):
-    t = md.compare_variants(_scored(spark, d), "doc_id", "low", {"length": BASE, "size": ["size"]}, {"digits": ["digit_share"], "blanks": ["blank_share"], "all": EXTRA}, "source", "lang", K)
-    return t.select("cohort", "base", "addon", (F.col("auc_full").between(0, 1) & F.col("p").between(0, 1)).alias("sane"))
+    t = md.compare_variants(_scored(spark, d), "doc_id", "low", {b: [b] for b in _BASES}, {a: [a] for a in _ADDONS}, "source", "lang", K)
+    return t.select("cohort", "base", "addon", r4("auc_base", 5).alias("auc_base"), r4("auc_full", 5).alias("auc_full"), r4("p").alias("p"))
+
+
