@@ -190,7 +190,7 @@ def read_records(spark: SparkSession, base: str, with_ids: bool = False) -> Data
     total = read_back.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     # One row per file: the running total of a file list.
     ahead = total.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    out = index.select("shard", "seq", "doc_id").join(read_back, ["shard", "seq"]).join(F.broadcast(ahead), "shard")
+    out = index.select("shard", "seq", "doc_id").hint("merge").join(read_back, ["shard", "seq"]).join(F.broadcast(ahead), "shard")
     return out.select("doc_id", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
