@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import oracles
 from .common import table, tuned
 
 QUERIES: dict = {}
@@ -18,7 +21,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op2_minhash_near_dedup")
+@query("op2_minhash_near_dedup", oracles.NEAR_DUPLICATES)
 def op2(spark, sf_dir):
     from .minhash import near_duplicates
 
@@ -72,14 +75,15 @@ def op6(spark, sf_dir):
     return mix_sources(docs, temperature_weights(docs)).select("doc_id", "source", "block", "release", "deadline", "slot", "place")
 
 
-@query("op7_quote_links")
+@query("op7_quote_links", oracles.QUOTES)
 def op7(spark, sf_dir):
     from .quotes import link_quotes
 
-    return link_quotes(table(spark, sf_dir, "conversations"))
+    # -1 for a message without a parent
+    return link_quotes(table(spark, sf_dir, "conversations")).withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)))
 
 
-@query("op8_embedding_near_dedup")
+@query("op8_embedding_near_dedup", oracles.NEAR_VECTORS)
 def op8(spark, sf_dir):
     from .hnsw import near_vectors
 
