@@ -169,7 +169,11 @@ def _features(n: Node) -> tuple:
 
 def _kind(n: Node) -> str:
     """What the transition from the parent depends on."""
-    return "text" if n.text is not None else "block" if n.tag in TEXTUAL and n.naming == "none" else "container"
+    if n.text is not None:
+        return "text"
+    if n.tag in TEXTUAL and n.naming == "none":
+        return "block"
+    return "container" if n.parent is None or n.parent.naming != "against" else "inner"
 
 
 class Model:
@@ -195,7 +199,7 @@ class Model:
                 else:
                     move[_kind(n), int(n.parent.main)][y] += 1
         self.root = [r / sum(roots) for r in roots]
-        self.move = {(leaf, y): [m / sum(move[leaf, y]) for m in move[leaf, y]] for leaf in ("text", "block", "container") for y in (0, 1)}
+        self.move = {(leaf, y): [m / sum(move[leaf, y]) for m in move[leaf, y]] for leaf in ("text", "block", "container", "inner") for y in (0, 1)}
         values = defaultdict(set)
         for c in emit:
             for f in c:
@@ -211,7 +215,7 @@ class Model:
             r = 1.0
             for f in _features(n):
                 r *= ratio.get(f, 1.0)
-            if _kind(n) != "container":
+            if _kind(n) in ("text", "block"):
                 r **= TEMPER
             belief.append([1 / (1 + r), r / (1 + r)])
         parent = [-1 if n.parent is None else place[id(n.parent)] for n in nodes]

@@ -26,6 +26,10 @@ _SHAPES += [
     '<html><body><article data-main><header><h1>S</h1></header><section><h2>S</h2><p>L</p></section><section><p>M</p></section><nav data-off><ul>U</ul></nav><footer data-off>M</footer></article><div class="ads"><p>L</p></div></body></html>',
 ]
 
+_SHAPES += [
+    '<html><body><header class="site-header"><h1>S</h1><p>M</p></header><main><article class="post" data-main><header class="entry-header"><h1>S</h1></header><div class="entry-content"><p>L</p><p>M</p></div><footer class="entry-footer" data-off>M</footer></article><section class="comments"><article><p>L</p></article><article><p>M</p><div>M</div></article></section></main><footer class="site-footer">M</footer></body></html>',
+    '<html><body><nav class="main-nav"><ul>U</ul></nav><main data-main><header class="article-header"><h1>S</h1></header><p>L</p><section><p>M</p></section><section class="comments" data-off><article><p>L</p></article><div><p>L</p></div></section></main><aside class="sidebar"><section><h3>S</h3><p>M</p></section><article><p>M</p></article></aside></body></html>',
+]
 # Pages of nothing but text.
 _SHAPES += [f"<html data-main><body data-main>{b}</body></html>" for b in ("<p>L</p>", "<p>L</p><p>M</p><p>L</p>", "<h1>S</h1><p>L</p><p>M</p>", "<div>L</div><div>M</div>", "<h2>S</h2><p>M</p><p>S</p>", "<p>S</p>", "<p>M</p><p>M</p>")]
 # The same layout under many names: what is called so goes before, inside or after the main text.

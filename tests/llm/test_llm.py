@@ -221,7 +221,7 @@ def test_page_marginals_are_exact():
         w = 1.0
         for n, y in zip(nodes, s):
             r = float(np.prod([m.ratio.get(f, 1.0) for f in pages._features(n)]))
-            if pages._kind(n) != "container":
+            if pages._kind(n) in ("text", "block"):
                 r **= pages.TEMPER
             w *= (r if y else 1.0) * (m.root[y] if n.parent is None else m.move[pages._kind(n), s[place[id(n.parent)]]][y])
         total += w
