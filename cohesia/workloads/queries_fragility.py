@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fields import r4, radius_for_degree, relative_error
+from ..operators import features
 from ..operators import fragility as fr
 from ..operators import mesh, paths
 from ..operators import spectrum as sp
@@ -227,16 +228,6 @@ def f19(spark, d):
     return fr.localizer_fields(edges, nodes).select(G, "node_id", "field", r4("score").alias("score"))
 
 
-def baseline_features(edges, nodes, patch_at: float = 0.5):
-    """Six-column baseline vector; the min cut column is its upper bound."""
-    from ..operators import connectivity as cn
-
-    l2 = sp.fiedler(edges, nodes).groupBy(G).agg(F.max("lambda2").alias("lambda2"))
-    out = fr.burden(nodes).join(fr.field_entropy(nodes), G).join(cn.patch_size(nodes, edges, patch_at), G)
-    cut_ = cn.min_cut_bound(edges, nodes).select(G, F.col("value").alias("min_cut"))
-    return out.join(cut_, G).join(cn.percolation(edges, nodes), G).join(l2, G)
-
-
 @query("f20_baseline_features", k.q(k.SPARSE, k.laplacian(), k.lowest("lap", 2), percolation_sql(), """
 h AS (SELECT graph_id, least(floor(fibrosis * 16), 15) AS b, count(*) AS c FROM nodes GROUP BY ALL),
 ent AS (SELECT graph_id, -sum(c / t * ln(c / t)) / ln(16) AS entropy FROM (SELECT *, sum(c) OVER (PARTITION BY graph_id) AS t FROM h) GROUP BY graph_id)""",
@@ -246,7 +237,7 @@ SELECT n.graph_id, {k.r4('avg(fibrosis)')} AS burden, {k.r4('any_value(entropy)'
 def f20(spark, d):
     nodes, edges = views.sparse_trade(spark, d)
     nodes, edges = cut(nodes), cut(edges)
-    return baseline_features(edges, nodes).select(G, r4("burden").alias("burden"), r4("entropy").alias("entropy"), r4("percolation").alias("percolation"), r4("lambda2", 3).alias("lambda2"))
+    return features.baseline_features(edges, nodes).select(G, r4("burden").alias("burden"), r4("entropy").alias("entropy"), r4("percolation").alias("percolation"), r4("lambda2", 3).alias("lambda2"))
 
 
 @query("f21_burden", k.q(k.POINTS, body=f"SELECT graph_id, {k.r4('avg(fibrosis)', 6)} AS burden FROM nodes GROUP BY ALL"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.fields import r4
+from ..operators import features
 from ..operators import fragility as fr
 from ..operators import models as md
 from ..operators import spectrum as sp
 from ..plans.lineage import cut
 from . import sqlkit as k
 from . import views
-from .queries_fragility import MU, SFI, baseline_features
+from .queries_fragility import MU, SFI
 from .queries_statistics import auc_sql, delong_sql
 from .registry import query
 
@@ -88,28 +89,11 @@ UNION ALL SELECT graph_id, 'sfi_region_max', {k.r4('max(sfi)', 3)} FROM reg GROU
 def t01(spark, d):
     nodes, edges = views.trade(spark, d)
     nodes, edges = cut(nodes), cut(edges)
-    f = subject_features(edges, nodes)
+    f = features.subject_features(edges, nodes, MU)
     keep = ["fibhet_burden", "spec_lambda2", "sfi_total", "sfi_region_max"]
     return f.where(F.col("name").isin(keep)).select(G, "name", r4("value", 3).alias("value"))
 
 
-def subject_features(edges, nodes, exact: bool = False):
-    """Namespaced long features of every graph: heterogeneity, connectivity, spectral, fragility blocks."""
-    pairs = sp.smallest_eigpairs(edges, nodes, 6)
-    phi = sp.fiedler(edges, nodes, pairs)
-    base = baseline_features(edges, nodes)
-    out = md.long_features(base.select(G, "burden", "entropy", "patch_size"), "fibhet_").union(md.long_features(base.select(G, "min_cut", "percolation", "lambda2"), "conn_"))
-    out = out.union(md.long_features(fr.spectral_features(edges, nodes, pairs=pairs), "spec_")).union(md.long_features(fr.sfi_features(edges, nodes, phi, mu=MU), "sfi_"))
-    sub = fr.subspace_fragility(fr.perturbation_field(edges, nodes, mu=MU), pairs, 2)
-    sub = sub.groupBy(G, "region").agg(F.sum(F.col("dw") * F.col("frag")).alias("sfi"))
-    out = out.union(md.long_features(fr.region_summary(sub, "sfi"), "sfisub_"))
-    if exact:
-        ex = fr.exact_region_delta(edges, nodes, mu=MU)
-        s = fr.region_summary(ex.where("region <> '_all'"), "drop").drop("total").join(ex.where("region = '_all'").select(G, F.col("drop").alias("total")), G)
-        out = out.union(md.long_features(s, "sfiex_"))
-    return out
-
-
 TIERS = range(1995, 2002)
 _BY_TIER = ", ".join(k.r4(f"coalesce(avg(score) FILTER (tier = {t}), 0)", 6) + f" AS s_{t}" for t in TIERS)
 
