@@ -68,13 +68,17 @@ def spanning_forest(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
         a = comp.select(G, F.col("node_id").alias("src"), F.col("c").alias("cs"))
         b = comp.select(G, F.col("node_id").alias("dst"), F.col("c").alias("cd"))
         out = edges.join(a, [G, "src"]).join(b, [G, "dst"]).where("cs <> cd")
-        pick = F.struct(F.col(key).alias("k"), "src", "dst")
+        pick = F.struct(F.col(key).alias("k"), "src", "dst", "cs", "cd")
         best = out.select(G, pick.alias("e"), F.explode(F.array("cs", "cd")).alias("c")).groupBy(G, "c").agg(F.max("e").alias("e"))
-        new = cut(best.select(G, "e.src", "e.dst", F.col("e.k").alias(key)).distinct())
+        new = cut(best.select(G, "e.src", "e.dst", F.col("e.k").alias(key), "e.cs", "e.cd").distinct())
+        picked = new.select(G, "src", "dst", key)
         if new.limit(1).count() == 0:
-            return chosen if chosen is not None else new
-        chosen = new if chosen is None else chosen.union(new)
-        comp = cut(components(chosen, nodes).select(G, "node_id", F.col("comp").alias("c")))
+            return chosen if chosen is not None else picked
+        chosen = picked if chosen is None else chosen.union(picked)
+        # Only the labels that were linked in this round are merged.
+        links = new.select(G, F.col("cs").alias("src"), F.col("cd").alias("dst"))
+        merged = components(links, comp.select(G, F.col("c").alias("node_id"))).select(G, F.col("node_id").alias("c"), "comp")
+        comp = cut(comp.join(merged, [G, "c"]).select(G, "node_id", F.col("comp").alias("c")))
     raise RuntimeError("spanning forest did not settle")
 
 
@@ -95,7 +99,8 @@ def min_cut_bound(edges: DataFrame, nodes: DataFrame, trials: int = 4, seed: int
 
     Exact for at most 16 nodes. Otherwise the upper bound is the best of the smallest weighted
     degree, every Fiedler sweep cut and `trials` random contractions; lambda2 (n-1)/n bounds below.
-    0 for fewer than two nodes, no edges or a disconnected topology.
+    0 for fewer than two nodes, no edges or a disconnected topology. `trials` is the number of
+    contractions behind the bound; each one meets the minimum cut with probability at least 2 / (n (n - 1)).
     """
     e = cut(adjacency(edges.where("src <> dst")).where("src < dst"))
     size = nodes.groupBy(G).agg(F.count(F.lit(1)).alias("n"))
@@ -113,7 +118,8 @@ def min_cut_bound(edges: DataFrame, nodes: DataFrame, trials: int = 4, seed: int
         best = best.union(sweep_cut(le, phi)).union(contraction_cut(le, ln, trials, seed))
         up = best.groupBy(G).agg(F.min("v").alias("value"))
         done = done.union(up.join(low, G).select(G, "value", "lower"))
-    out = linked.select(G).join(done, G, "left").na.fill(0.0)
+    tried = F.when(F.col("one") & (F.col("n") > EXACT_CUT_NODES), F.lit(trials)).otherwise(F.lit(0)).alias("trials")
+    out = linked.select(G, tried).join(done, G, "left").na.fill(0.0)
     return out.withColumn("certified", F.col("value") - F.col("lower") <= 1e-9 * F.greatest(F.col("value"), F.lit(1.0)))
 
 
