@@ -34,6 +34,7 @@ HEAD = "<QI"
 # Characters outside the range where lower-casing and NFC change nothing else, and punctuation (no
 # apostrophe, no underscore) between such a letter or digit and the end of a word.
 OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 ENDING = re.compile(r"(?<=[0-9a-z\u00df-\u00f6\u00f8-\u024f])([!-&(-/:-@\[-^`{-~]++)(?=[ \t\n\r0-9a-z\u00df-\u00f6\u00f8-\u024f]|\Z)")
 
 
@@ -66,11 +67,16 @@ class Encoder:
         told = json.loads(self.tokenizer.to_str())
         split = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
         self.plain = "Lowercase" in json.dumps(told["normalizer"]) and split in json.dumps(told["pre_tokenizer"])
+        # Lower-case Latin letters pass the normaliser unchanged and are one pre-token: the model alone does for them.
+        self.letters = None
+        if self.plain and told["pre_tokenizer"]["type"] == "Sequence":
+            bare = told | {"normalizer": None, "pre_tokenizer": told["pre_tokenizer"]["pretokenizers"][-1]}
+            self.letters = Tokenizer.from_str(json.dumps(bare)) if bare["pre_tokenizer"]["type"] == "ByteLevel" else None
         self.known: dict[str, bytes] = {"": b""}
 
     def _pieces(self, text: str | None) -> list[str]:
         text = text or ""
-        if self.plain and "<|" not in text and not OTHER.search(text):
+        if self.plain and (text.isascii() or not OTHER.search(text)) and "<|" not in text:
             text = ENDING.sub(r" \1 ", text.lower())
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
@@ -80,12 +86,15 @@ class Encoder:
         rows = [self._pieces(t) for t in texts]
         known = self.known
         new = list(set().union(*rows) - known.keys())
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            flat = np.fromiter(itertools.chain.from_iterable(ids), f"<u{self.width}").tobytes()
-            ends = list(itertools.accumulate(self.width * len(i) for i in ids))
-            known.update(zip(part, [flat[x:y] for x, y in zip([0, *ends], ends)]))
+        easy = [p for p in new if LETTERS.fullmatch(p)] if self.letters else []
+        hard = list(set(new).difference(easy)) if easy else new
+        for tokenizer, todo in ((self.letters, easy), (self.tokenizer, hard)):
+            for a in range(0, len(todo), 20_000):
+                part = todo[a : a + 20_000]
+                ids = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                flat = np.fromiter(itertools.chain.from_iterable(ids), f"<u{self.width}").tobytes()
+                ends = list(itertools.accumulate(self.width * len(i) for i in ids))
+                known.update(zip(part, [flat[x:y] for x, y in zip([0, *ends], ends)]))
         out = [b"".join(map(known.__getitem__, row)) + self.end for row in rows]
         for p in new:
             if len(p) > LONGEST_CACHED:
