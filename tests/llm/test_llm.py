@@ -109,6 +109,18 @@ def test_slots_keep_their_places(spark):
     assert dict(zip(r.raw, r.words))["anna"] == "ǂname" and dict(zip(r.raw, r.words))["km"] == "ǂunit" and dict(zip(r.raw, r.words))["3.5"] == "ǂnum"
 
 
+def test_templates_find_dense_and_short_items(spark, rng):
+    items = ["What is 12 + 34 + 56 + 78 + 90 + 11 + 5?", "Find the next number: 2, 4, 8, 16, 32, 64, 128, 256", "Who wrote Hamlet?", "3, 1, 4, 1, 5, 9, 2, 6, 5",
+             " ".join(f"{n} has {k} apples." for k, n in enumerate("Ada Bob Cleo Dan Eve Finn Gus Hal Ida Jon Kim Leo Mia Ned Oda Pam Quin Rob".split(), 2)) + " How many is that?"]
+    docs = [(i, f"{prose(rng, 20)}. {t} {prose(rng, 9)}") for i, t in enumerate(items)]
+    docs += [(10, "Who wrote the Hamlet?"), (11, "3, 1, 4, 1, 5, 8, 1, 7, 6"), (12, items[4].replace("Ada", "Zoe").replace(" 7 ", " 99 ")), (13, prose(rng, 90))]
+    got = leaks(spark, docs, list(enumerate(items)))
+    assert set(got) == {(i, i) for i in range(5)} | {(12, 4)}
+    assert all(got[i, i].literal and got[i, i].coverage == 1 for i in range(5)) and not got[12, 4].literal
+
+
+
+
 # 2: near copies
 
 
