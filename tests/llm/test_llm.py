@@ -119,6 +119,17 @@ def test_templates_find_dense_and_short_items(spark, rng):
     assert all(got[i, i].literal and got[i, i].coverage == 1 for i in range(5)) and not got[12, 4].literal
 
 
+def test_templates_do_not_depend_on_capitals(spark, rng):
+    tom = "Tom has 3 red marbles. Tom gives 2 to Ann. Tom buys 5 more. Tom now has how many?"
+    trip = "When did Anna meet Boris in Paris before Clara moved to Rome with David?"
+    german = "Der Bauer kauft im Markt einen Korb Äpfel und bringt das Obst der Nachbarin nach Hause"
+    usa = 'The teacher said: "McDonald flew to NASA" and then (O Neil) left for the USA by boat'
+    renamed = usa.replace("McDonald", "MacLeod").replace("NASA", "CERN").replace("USA", "UAE")
+    docs = [(1, tom.replace("Tom", "Sam")), (2, trip.lower()), (3, trip.upper()), (4, german.lower()), (5, prose(rng, 30) + ". " + renamed), (6, german), (7, tom.replace("Tom gives", "Sam gives").replace("3", "4"))]
+    got = leaks(spark, docs, [(1, tom), (2, trip), (3, german), (4, usa)])
+    assert set(got) == {(1, 1), (2, 2), (3, 2), (4, 3), (5, 4), (6, 3)}
+    assert got[2, 2].literal and got[4, 3].literal and not got[1, 1].literal and not got[5, 4].literal
+
 
 
 # 2: near copies
