@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-LEAST_CHARS = 8  # of a normalised passage that may link
+WORD = r"[\p{L}\p{Nd}]"  # a unit that may link has one
+SENTENCE = r"(?<=[.!?…][\"')\]]?)\x20|(?<=[。！？])"  # what parts the sentences of a normalised paragraph
 QUOTE = r"^\x20{0,3}(?:>\x20?)+"
 
 
@@ -38,9 +39,11 @@ def parsed(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", text.alias("text"), F.transform("starts", passage).alias("quotes"))
 
 
-def _units(whole, lines):
-    """Hashes, with lengths, of a passage as a whole and of its lines."""
-    parts = F.array_distinct(F.filter(F.transform(F.concat(F.array(whole), lines), _normal), lambda u: F.length(u) >= LEAST_CHARS))
+def _units(text, lines):
+    """Hashes, with lengths, of a text as a whole and of its paragraphs, lines and sentences."""
+    paragraphs = F.transform(F.split(text, r"\n\s*\n"), _normal)
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE)))
+    parts = F.array_distinct(F.filter(F.concat(F.array(_normal(text)), paragraphs, F.transform(lines, _normal), sentences), lambda u: u.rlike(WORD)))
     return F.transform(parts, lambda u: F.struct(F.xxhash64(u).alias("hash"), F.length(u).alias("chars")))
 
 
@@ -48,23 +51,27 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """One row per message of messages(conv_id, turn, role, text): conv_id, turn, role, text (without quotes),
     n_quotes, max_level, parent_turn, thread (first turn of its reply tree) and depth.
 
-    A quoted passage is looked up, as a whole and by its lines, among the paragraphs and lines of earlier
-    messages of the conversation; a unit belongs to the earliest message that has it, so that one row a
-    unit is joined, however common it is. The parent is the message with most characters matched by the
-    shallowest linked quotes, the latest on a tie. A message without a linked quote starts a thread. Parents
+    A quoted passage is looked up, as a whole and by its paragraphs, lines and sentences, among those of
+    earlier messages of the conversation. The parent is the message with most characters matched by the
+    shallowest linked quotes; on a tie the one that had most of them first, then the latest. Messages of
+    equal text count as the earliest, and only units that are quoted are joined, so common ones stay few.
+    A message without a linked quote starts a thread. Parents
     have smaller turns, so (conv_id, thread, turn) is a reply order. Null and empty texts have no quotes;
     null conv_id or turn: no links; rows of equal (conv_id, turn) share their links; other columns are
     ignored; an empty table gives no rows.
     """
     rows = saved(parsed(messages), "messages")
-    paragraphs = F.concat(F.split("text", r"\n\s*\n"), F.split("text", "\n"))
-    units = rows.select("conv_id", "turn", F.explode(_units(F.col("text"), paragraphs)).alias("u"))
-    owners = units.groupBy("conv_id", F.col("u.hash").alias("hash")).agg(F.min("turn").alias("owner"))
+    units = rows.select("conv_id", "turn", F.xxhash64("text").alias("mark"), F.explode(_units(F.col("text"), F.split("text", "\n"))).alias("u"))
+    units = units.select("conv_id", "turn", "mark", F.col("u.hash").alias("hash"))
     quoted = rows.where(F.size("quotes") > 0).select("conv_id", "turn", F.posexplode("quotes").alias("no", "q"))
-    asked = quoted.select("conv_id", "turn", F.col("q.level").alias("level"), F.explode(_units(F.array_join("q.body", " "), F.col("q.body"))).alias("u"))
-    asked = asked.select("conv_id", "turn", "level", F.col("u.hash").alias("hash"), F.col("u.chars").alias("chars"))
-    hits = asked.join(owners, ["conv_id", "hash"]).where("owner < turn").groupBy("conv_id", "turn", "level", "owner").agg(F.sum("chars").alias("chars"))
-    parents = hits.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), F.col("chars"), F.col("owner"))).getField("owner").alias("parent_turn"))
+    asked = quoted.select("conv_id", "turn", F.col("q.level").alias("level"), F.explode(_units(F.array_join("q.body", "\n"), F.col("q.body"))).alias("u"))
+    asked = saved(asked.select("conv_id", "turn", "level", F.col("u.hash").alias("hash"), F.col("u.chars").alias("chars")), "asked")
+    on = ["conv_id", "hash"]
+    owners = units.join(asked.select(on).distinct(), on, "left_semi").groupBy(*on, "mark").agg(F.min("turn").alias("owner"))
+    owners = saved(owners.drop("mark"), "owners")
+    owners = owners.join(owners.groupBy(*on).agg(F.min("owner").alias("first")), on)
+    hits = asked.join(owners, on).where("owner < turn").groupBy("conv_id", "turn", "level", "owner").agg(F.sum("chars").alias("chars"), F.sum(F.when(F.col("owner") == F.col("first"), F.col("chars")).otherwise(0)).alias("early"))
+    parents = hits.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), F.col("chars"), F.col("early"), F.col("owner"))).getField("owner").alias("parent_turn"))
     parents = saved(parents, "parents")
 
     # Pointer jumping: about log2 of the deepest chain of quotes.

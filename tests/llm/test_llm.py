@@ -372,6 +372,22 @@ def test_whole_paragraph_links(spark):
     assert got[5].parent_turn == 0 and got[9].parent_turn == 0 and got[5].depth == 1
 
 
+def test_trimmed_rewrapped_and_short_quotes_link(spark):
+    rows = [
+        (1, 0, "u", "Sorting is slow here. Is there a faster way? I have a long list\nof names. They are mostly sorted.\n\nThanks!"),
+        (1, 1, "a", "> Is there a faster way?\nYes."),
+        (1, 2, "u", "> Yes.\nWhy?"),
+        (1, 3, "a", "> I have a long\n> list of names. They\n> are mostly sorted.\nThen use insertion."),
+        (1, 4, "u", "> Why?\nNever mind."),
+        (1, 5, "a", "Thanks!\nThen use insertion.\nIt is quick."),
+        (1, 6, "u", "> Thanks!\n> Then use insertion.\nGood."),
+        (1, 7, "u", "> Thanks!\nok"),
+    ]
+    got = {r.turn: r for r in linked(spark, rows)}
+    assert [got[t].parent_turn for t in range(8)] == [None, 0, 1, 0, 2, None, 5, 0]
+    assert [got[t].depth for t in range(8)] == [0, 1, 2, 1, 3, 0, 1, 1]
+
+
 # 8: vectors
 
 
