@@ -95,3 +95,26 @@ def op4(spark, sf_dir):
     from .pages import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_hard_negatives", oracles.HARD_NEGATIVES)
+def op11(spark, sf_dir):
+    from .negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_nearest_neighbours")
+def op12(spark, sf_dir):
+    from .vamana import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_align_tokenizers")
+def op13(spark, sf_dir):
+    import public_tokenizers
+
+    from .align import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
