@@ -9,9 +9,12 @@ first difference. A group that is not one to one is walked token by token, and l
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+import sys
+import types
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -24,40 +27,41 @@ from .common import saved
 
 STEP_BYTES = 1 << 20  # of texts encoded in one call, about
 BROADCAST_PAIRS = 500_000  # id pairs whose counts are sent to every executor; more of them are joined by a shuffle
+OTHER = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
+# How the byte-level format splits a text before merging: a fixed value.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def runs(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
     """Spans (i, k, j, l) of tokens a[i:k] and b[j:l], in order: stretches of one-to-one groups if both are longer
     than one token and of equal length, else one group. The ends are rising and finish at the same offset."""
     i = j = 0
-    n, m = len(ends_a), len(ends_b)
+    n = len(ends_a)
     while i < n:
-        # Exponential probing along the diagonal.
-        k, l, step = i, j, 1  # noqa: E741
-        while step and k < n and l < m:
-            step = min(step, n - k, m - l)
-            if ends_a[k : k + step] == ends_b[l : l + step]:
+        k, l = i, j  # noqa: E741
+        if ends_a[k] == ends_b[l]:
+            k, l, step = k + 1, l + 1, 1  # noqa: E741
+            # Exponential probing along the diagonal.
+            while k < n and ends_a[k : k + step] == ends_b[l : l + step]:
                 k, l, step = k + step, l + step, 2 * step  # noqa: E741
-                continue
+            if k >= n:
+                yield i, n, j, len(ends_b)
+                return
             while step > 1:  # the first difference lies within this step
                 step //= 2
                 if ends_a[k : k + step] == ends_b[l : l + step]:
                     k, l = k + step, l + step  # noqa: E741
-            # Odd steps leave at most a few equal ends behind.
-            while ends_a[k] == ends_b[l]:
-                k, l = k + 1, l + 1  # noqa: E741
-            step = 0
-        if k > i:
             yield i, k, j, l
             i, j = k, l
-            if i == n:
-                return
         # An irregular group: the side that is behind moves on.
-        while ends_a[k] != ends_b[l]:
-            if ends_a[k] < ends_b[l]:
+        x, y = ends_a[k], ends_b[l]
+        while x != y:
+            if x < y:
                 k += 1
+                x = ends_a[k]
             else:
                 l += 1  # noqa: E741
+                y = ends_b[l]
         yield i, k + 1, j, l + 1
         i, j = k + 1, l + 1
 
@@ -82,9 +86,25 @@ class ByteLevel:
         size = self.tokenizer.get_vocab_size()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.bytes = [bytes(chars[c] for c in s) if all(c in chars for c in s) else s.encode() for s in names]
+        self.ranked = self._ranked()
+
+    def _ranked(self):
+        """The same vocabulary in the library that merges by rank, several times faster; None if the file is of another kind."""
+        import tiktoken
+
+        told = json.loads(self.tokenizer.to_str())
+        model, split = told["model"], told["pre_tokenizer"] or {}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+        in_order = [model["vocab"].get("".join(m)) for m in merges] == list(range(256, 256 + len(merges)))
+        if told["normalizer"] or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"] or not in_order:
+            return None
+        return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks={self.bytes[i]: i for i in range(256 + len(merges))}, special_tokens={})
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        """Ranks for texts of Latin letters and common signs, whose classes all libraries agree on; the file's own library else."""
+        easy = [self.ranked is not None and not OTHER.search(t) for t in texts]
+        hard = iter(self.tokenizer.encode_batch_fast([" " + t for t, e in zip(texts, easy) if not e], add_special_tokens=False))
+        return [self.ranked.encode_ordinary(" " + t) if e else next(hard).ids for t, e in zip(texts, easy)]
 
 
 class Pieces:
@@ -101,9 +121,30 @@ class Pieces:
         return self.processor.encode(texts, num_threads=1)
 
 
-@lru_cache(2)
-def _pair(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces]:
-    return ByteLevel(path_a), Pieces(path_b)
+class Pair:
+    """Ids of whole texts under both tokenizers, with the sizes of their tokens in bytes."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.a, self.b = ByteLevel(path_a), Pieces(path_b)
+        self.size_a, self.size_b = [[len(x) for x in t.bytes] for t in (self.a, self.b)]
+
+    def __call__(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Both id lists of each text; None for a text that is empty or not spelled exactly by both."""
+        out = []
+        for text, ids_a, ids_b in zip(texts, self.a(texts), self.b(texts)):
+            raw = b" " + text.encode()
+            fits = text and b"".join(map(self.a.bytes.__getitem__, ids_a)) == raw and b"".join(map(self.b.bytes.__getitem__, ids_b)) == raw
+            out.append((ids_a, ids_b) if fits else None)
+        return out
+
+
+def pair(path_a: str, path_b: str) -> Pair:
+    """One pair for all tasks of a Python worker."""
+    held = sys.modules.setdefault("cohesia_pairs", types.ModuleType("cohesia_pairs"))
+    key = f"{path_a}|{path_b}"
+    if not hasattr(held, key):
+        setattr(held, key, Pair(path_a, path_b))
+    return getattr(held, key)
 
 
 def align(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[int, str, list[int], list[int]]:
@@ -112,16 +153,16 @@ def align(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[in
     No token is empty, so a group's only link is that of its last two tokens.
     """
     told, link_a, link_b = [], [], []
+    name_a, name_b = list(map(str, ids_a)), list(map(str, ids_b))
     for i, k, j, l in runs(ends_a, ends_b):  # noqa: E741
-        if k - i == l - j:  # a group of several tokens a side is told apart by its inner ends
-            if k - i == 1 or ends_a[i] == ends_b[j]:
-                told += [f"{x}|{y}" for x, y in zip(ids_a[i:k], ids_b[j:l])]
-                link_a += ids_a[i:k]
-                link_b += ids_b[j:l]
-                continue
-        told.append(",".join(map(str, ids_a[i:k])) + "|" + ",".join(map(str, ids_b[j:l])))
-        link_a.append(ids_a[k - 1])
-        link_b.append(ids_b[l - 1])
+        if ends_a[i] == ends_b[j]:  # one to one
+            told += [f"{x}|{y}" for x, y in zip(name_a[i:k], name_b[j:l])]
+            link_a += ids_a[i:k]
+            link_b += ids_b[j:l]
+        else:
+            told.append(",".join(name_a[i:k]) + "|" + ",".join(name_b[j:l]))
+            link_a.append(ids_a[k - 1])
+            link_b.append(ids_b[l - 1])
     return len(told), ";".join(told), link_a, link_b
 
 
@@ -134,8 +175,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        a, b = _pair(path_a, path_b)
-        size_a, size_b = [np.array([len(x) for x in t.bytes], np.int64) for t in (a, b)]
+        encode = pair(path_a, path_b)
         shard, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -147,13 +187,12 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     stop += 1
                 part = [t or "" for t in texts[start:stop]]
                 rows = []
-                for text, ids_a, ids_b in zip(part, a(part), b(part)):
-                    raw = b" " + text.encode()
-                    fits = text and b"".join(map(a.bytes.__getitem__, ids_a)) == raw and b"".join(map(b.bytes.__getitem__, ids_b)) == raw
-                    if not fits:
+                for ids in encode(part):
+                    if ids is None:
                         rows.append((0, 0, 0, "", b""))
                         continue
-                    n, told, link_a, link_b = align(ids_a, ids_b, size_a[ids_a].cumsum().tolist(), size_b[ids_b].cumsum().tolist())
+                    ids_a, ids_b = ids
+                    n, told, link_a, link_b = align(ids_a, ids_b, list(accumulate(map(encode.size_a.__getitem__, ids_a))), list(accumulate(map(encode.size_b.__getitem__, ids_b))))
                     links = np.array(link_a, np.int64) << 32 | np.array(link_b, np.int64)
                     rows.append((len(ids_a), len(ids_b), n, hashlib.sha256(told.encode()).hexdigest(), links))
                 sizes = [len(r[4]) for r in rows]

@@ -169,6 +169,19 @@ def test_long_equal_stretches_are_jumped():
 TEXTS = [None, "", " ", "\n", "Hello world", "hello  world\n\n\tfoo", "naïve café 東京 😀", "<|endoftext|> and <s> </s> <0x41>", "a▁b", "x" * 5000, "word " * 3000, "don't we'll 12345 3.14", "Ünïcödé́", "the the the", "the the the", "\x00\x01"]
 
 
+def test_ranks_give_the_ids_of_the_file():
+    """The faster library agrees with the tokenizer file's own on every character that it is used for, and on odd mixtures."""
+    a = align.ByteLevel(P.path("byte_bpe_50k.json"))
+    assert a.ranked is not None
+    rng = random.Random(4)
+    plain = [c for c in map(chr, [*range(0x250), *range(0x2010, 0x2028), 0x20AC]) if not align.OTHER.search(c)]
+    odd = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\u2028", "\u3000", "\u200b", "don't", "'s", "'S", "Zürich", "東京", "😀", "12", "3.5", "-", "<|endoftext|>", "e\u0301", "..", "\r\n", "the", "²", "½", "ª"]
+    texts = plain + ["".join(rng.choices(plain, k=rng.randint(1, 40))) for _ in range(4000)]
+    texts += ["".join(rng.choice(odd) + rng.choice(["", "", " ", "  "]) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    own = [e.ids for e in a.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    assert a(texts) == own and sum(not align.OTHER.search(t) for t in texts) > 4500
+
+
 @pytest.mark.parametrize("broadcast_pairs", [500_000, 0])
 def test_align_documents(spark, broadcast_pairs):
     a, b = align.ByteLevel(P.path("byte_bpe_50k.json")), align.Pieces(P.path("piece_bpe_32k.model"))
