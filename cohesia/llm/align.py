@@ -147,16 +147,28 @@ def pair(path_a: str, path_b: str) -> Pair:
     return getattr(held, key)
 
 
+NAMES = [str(i) for i in range(1 << 16)]
+
+
+def _names(ids: list[int]) -> list[str]:
+    return [NAMES[i] for i in ids] if max(ids, default=0) < len(NAMES) else list(map(str, ids))
+
+
 def align(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[int, str, list[int], list[int]]:
     """Number of groups, their text `a1,a2|b1;a3|b2,b3`, and the A and B ids of the links: tokens that end together.
 
     No token is empty, so a group's only link is that of its last two tokens.
     """
     told, link_a, link_b = [], [], []
-    name_a, name_b = list(map(str, ids_a)), list(map(str, ids_b))
+    name_a, name_b = _names(ids_a), _names(ids_b)
     for i, k, j, l in runs(ends_a, ends_b):  # noqa: E741
         if ends_a[i] == ends_b[j]:  # one to one
-            told += [f"{x}|{y}" for x, y in zip(name_a[i:k], name_b[j:l])]
+            if k == i + 1:
+                told.append(name_a[i] + "|" + name_b[j])
+                link_a.append(ids_a[i])
+                link_b.append(ids_b[j])
+                continue
+            told += [x + "|" + y for x, y in zip(name_a[i:k], name_b[j:l])]
             link_a += ids_a[i:k]
             link_b += ids_b[j:l]
         else:
