@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.rng import erlang
 from ..plans.joins import clip, endpoints
 from . import paths
-from .spectrum import degree, eigenvalues, fiedler, laplacian, lowest, perron, smallest_eigpairs
+from .spectrum import degree, eigenvalues, fiedler, perron, smallest_eigpairs
+from .updates import low_values
 
 G = "graph_id"
 REGIONS = "region"
@@ -137,28 +138,13 @@ def subspace_fragility(edges: DataFrame, pairs: DataFrame, k_dim: int = 2) -> Da
     return e.select(*edges.columns, sq.alias("frag"))
 
 
-# ---- perturb and recompute: a perturbed copy of a graph is another graph ------------------------
-
-
-def _variants(edges: DataFrame, nodes: DataFrame, tagged: DataFrame) -> DataFrame:
-    """lambda2 of each variant in tagged(graph_id, variant, src, dst, drop): base weight minus the drop."""
-    key = F.concat_ws("#", G, F.col("variant").cast("string"))
-    ids = tagged.select(G, "variant").distinct()
-    base = edges.select(G, "src", "dst", "w").join(ids, G)
-    less = tagged.select(G, "variant", "src", "dst", (-F.col("drop")).alias("w"))
-    ve = base.select(G, "variant", "src", "dst", "w").union(less)
-    ve = ve.groupBy(G, "variant", "src", "dst").agg(F.sum("w").alias("w")).withColumn(G, key)
-    vn = nodes.select(G, "node_id").join(ids, G).select(key.alias(G), "node_id")
-    vals = eigenvalues(lowest(laplacian(ve, vn), vn, 3))
-    at = lambda i: F.max(F.when(F.col("idx") == i, F.col("val")))
-    lam = vals.groupBy(F.col(G).alias("__k")).agg(at(1).alias("l2"), at(2).alias("l3"))
-    return ids.withColumn("__k", key).join(lam, "__k").drop("__k")
+# ---- perturb and recompute: only the changed edges of a perturbed graph are carried ---------------
 
 
 def exact_delta(edges: DataFrame, nodes: DataFrame, edits: DataFrame) -> DataFrame:
     """Signed change of lambda2 for each edit(graph_id, variant, src, dst, dw) of one edge."""
     base = fiedler(edges, nodes).groupBy(G).agg(F.max("lambda2").alias("base"))
-    new = _variants(edges, nodes, edits.withColumn("drop", -F.col("dw")))
+    new = low_values(edges, nodes, edits.withColumn("drop", -F.col("dw")), 2)
     return new.join(base, G).select(G, "variant", (F.col("l2") - F.col("base")).alias("delta"))
 
 
@@ -167,7 +153,7 @@ def exact_region_delta(edges: DataFrame, nodes: DataFrame, **field) -> DataFrame
     f = perturbation_field(edges, nodes, **field)
     tagged = f.select(G, F.explode(F.array(F.col("region").cast("string"), F.lit("_all"))).alias("variant"), "src", "dst", F.col("dw").alias("drop"))
     base = fiedler(edges, nodes).groupBy(G).agg(F.max("lambda2").alias("base"))
-    return _variants(edges, nodes, tagged).join(base, G).select(G, F.col("variant").alias("region"), (F.col("base") - F.col("l2")).alias("drop"))
+    return low_values(edges, nodes, tagged, 2).join(base, G).select(G, F.col("variant").alias("region"), (F.col("base") - F.col("l2")).alias("drop"))
 
 
 def sample_dw(field: DataFrame, draws: int, seed: int, cov: float = 0.5) -> DataFrame:
@@ -228,7 +214,7 @@ def sfi_monte_carlo(edges: DataFrame, nodes: DataFrame, draws: int, seed: int, *
     s = sample_dw(f, draws, seed, field.get("cov", 0.5))
     tagged = s.select(G, F.concat_ws("@", "region_key", F.col("draw").cast("string")).alias("variant"), "src", "dst", "drop")
     base = fiedler(edges, nodes).groupBy(G).agg(F.max("lambda2").alias("base"))
-    lam = _variants(edges, nodes, tagged).join(base, G).withColumn("region", F.split("variant", "@")[0])
+    lam = low_values(edges, nodes, tagged, 2).join(base, G).withColumn("region", F.split("variant", "@")[0])
     d = F.col("base") - F.col("l2")
     out = lam.groupBy(G, "region").agg(F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.count(F.lit(1)).alias("cnt"))
     std = F.coalesce("std", F.lit(0.0))
@@ -246,14 +232,15 @@ def _sweep(edges: DataFrame, nodes: DataFrame, grid, mask: Column) -> DataFrame:
     phi = pairs.where("idx = 1").select(G, "node_id", F.col("x").alias("phi"))
     e = edge_fragility(edges, phi).withColumnRenamed("frag", "f1")
     e = subspace_fragility(e, pairs, 2).withColumnRenamed("frag", "f2").withColumn("hit", mask)
-    v = cut(grid_rows(e.where("hit"), grid, "step", "t").withColumn("drop", F.col("t") * F.col("w")).withColumn("variant", F.col("step")))
+    v = cut(grid_rows(e.where("hit"), grid, "step", "t").withColumn("drop", F.col("t") * F.col("w")).withColumn("variant", F.col("step").cast("string")))
     pred = v.groupBy(G, "variant", "t").agg(F.sum(F.col("drop") * F.col("f1")).alias("pred_first"), F.sum(F.col("drop") * F.col("f2")).alias("pred_sub"))
-    lam = _variants(edges, nodes, v)
+    lam = low_values(edges, nodes, v, 3)
     key = F.concat_ws("#", G, F.col("variant").cast("string"))
-    dn = nodes.select(G, "node_id").join(v.select(G, "variant").distinct(), G)
     from .spectrum import lap_norm
 
-    norm = lap_norm(v.select(key.alias(G), "src", "dst", F.col("drop").alias("dw")), dn.select(key.alias(G), "node_id"))
+    changed = v.select(key.alias(G), "src", "dst", F.col("drop").alias("dw"))
+    ends = changed.select(G, F.explode(F.array("src", "dst")).alias("node_id")).distinct()  # other nodes add nothing to the norm
+    norm = lap_norm(changed, ends)
     j = pred.join(lam, [G, "variant"]).join(base, G).withColumn("__k", key).join(norm.withColumnRenamed(G, "__k"), "__k")
     from ..functions.fields import relative_error
 

@@ -75,6 +75,45 @@ def test_filtered_iteration_matches_dense(spark, cohort):
         assert abs(np.linalg.norm(x) - 1) < 1e-8
 
 
+def test_lanczos_on_a_grid_with_double_values(spark):
+    """A square grid above the dense bound: its second and third values are one double value."""
+    a = 9
+    rows = [("grid", i * a + j, i * a + j + s, 1.0) for i in range(a) for j in range(a) for s, ok in ((1, j + 1 < a), (a, i + 1 < a)) if ok]
+    edges = spark.createDataFrame(rows, "graph_id string, src long, dst long, w double")
+    nodes = spark.createDataFrame([("grid", i) for i in range(a * a)], "graph_id string, node_id long")
+    assert a * a > sp.DENSE_LIMIT
+    pairs = sp.smallest_eigpairs(edges, nodes, 3).toPandas()
+    one = 2 - 2 * math.cos(math.pi / a)
+    assert np.allclose(pairs.groupby("idx").val.first(), [0, one, one], atol=1e-9)
+    x = np.stack([pairs[pairs.idx == i].sort_values("node_id").x.to_numpy() for i in range(3)])
+    assert np.allclose(x @ x.T, np.eye(3), atol=1e-9) and (pairs.residual < 1e-5).all()
+
+
+@pytest.mark.parametrize("dense_limit", [60, 16])
+def test_variants_match_dense(spark, dense_limit):
+    """Values of changed graphs from the base pairs alone, and by the warm-started iteration above the bound."""
+    from cohesia.operators import updates
+
+    e, n = random_cohort(3, (12, 24))
+    r = np.random.default_rng(1)
+    drops = []
+    for g in ("g0", "g1"):
+        own = e[e[G] == g]
+        for v, share in enumerate((0.3, 0.9)):
+            drops += [(g, f"v{v}", int(x.src), int(x.dst), float(x.w * share)) for _, x in own.sample(3 + v, random_state=v).iterrows()]
+        drops += [(g, "all", int(x.src), int(x.dst), float(x.w * 0.2 * r.random())) for _, x in own.iterrows()]
+        drops += [(g, "more", 0, 7, -0.8), (g, "none", 0, 1, 0.0)]
+    d = spark.createDataFrame(drops, "graph_id string, variant string, src long, dst long, drop double")
+    got = updates.low_values(spark.createDataFrame(e), spark.createDataFrame(n), d, 2, dense_limit=dense_limit, subspace=4).toPandas()
+    assert len(got) == 10 and (got.residual < 1e-5).all()
+    for _, row in got.iterrows():
+        m = dense(e, n, row[G])
+        for g, v, a, b, x in drops:
+            if (g, v) == (row[G], row.variant):
+                m += x * (np.outer(np.eye(len(m))[a], np.eye(len(m))[b]) + np.outer(np.eye(len(m))[b], np.eye(len(m))[a]) - np.diag(np.eye(len(m))[a] + np.eye(len(m))[b]))
+        assert np.allclose(np.linalg.eigvalsh(m)[:2], [row.l1, row.l2], atol=1e-7)
+
+
 def test_laplacian_kinds(spark, cohort):
     e, n, edges, nodes = cohort
     bad = sp.laplacian(edges, nodes).groupBy(G, "i").agg(F.sum("val").alias("s")).where("abs(s) > 1e-9").count()
