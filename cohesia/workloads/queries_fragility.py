@@ -259,7 +259,7 @@ def f23(spark, d):
     return v.select("subject", "tier", r4(relative_error(F.col("score"), F.col("cov")), 3).alias("err"))
 
 
-GRID = (0.01, 0.1, 0.35, 0.75)
+GRID = (0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.55, 0.75, 0.95)
 STEPS = "steps AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {t}::DOUBLE)" for i, t in enumerate(GRID)) + ") s(step, t))"
 SWEEP = (*EIG3, FRAG, SUB, STEPS, """
 firsts AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY src, dst) AS pos FROM subf),

@@ -89,6 +89,15 @@ def test_lanczos_on_a_grid_with_double_values(spark):
     assert np.allclose(x @ x.T, np.eye(3), atol=1e-9) and (pairs.residual < 1e-5).all()
 
 
+def test_large_graphs_are_dealt_by_column(spark, cohort, monkeypatch):
+    """A graph above the bound of a task, with a hub whose column is split over salts, has the same pairs."""
+    monkeypatch.setattr(sp, "TARGET_ROWS", 15)
+    e = pd.DataFrame([("h", 0, i, 0.5 + i / 40) for i in range(1, 20)] + [("h", i, i + 1, 1.0) for i in range(1, 19)], columns=[G, "src", "dst", "w"])
+    n = pd.DataFrame({G: "h", "node_id": range(20)})
+    v = sp.eigenvalues(sp.smallest_eigpairs(spark.createDataFrame(e), spark.createDataFrame(n), 2, dense_limit=10)).toPandas().sort_values("idx")
+    assert np.allclose(v.val, np.linalg.eigvalsh(dense(e, n, "h"))[:2], atol=1e-7)
+
+
 @pytest.mark.parametrize("dense_limit", [60, 16])
 def test_variants_match_dense(spark, dense_limit):
     """Values of changed graphs from the base pairs alone, and by the warm-started iteration above the bound."""
