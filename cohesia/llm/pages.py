@@ -1,16 +1,16 @@
 """Main text of web pages by a tree-structured graphical model over DOM nodes.
 
-Nodes are block elements and runs of text between block boundaries, each main text or not. A node has an
-emission probability for its features, and a transition probability from its parent's state. Sum-product
-messages go from the leaves up and from the root down; a run of text is kept if its marginal is over one half.
+Nodes are block elements and runs of text between block boundaries. A node wraps main text, belongs to it or is
+off it; it has an emission probability for its features (tag, words of class, id and role, shape of a text) and a
+transition probability from its parent's state. Sum-product messages go from the leaves up and from the root down;
+a run of text is kept if its marginal of main text is over one half. All tables are counted from labelled pages.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,17 +23,23 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|data-main|data-off)(?:\s*=\s*(?:\"([^\
 # Elements of HTML: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-NEVER = frozenset("head script style noscript template iframe svg math form button select textarea input option canvas object audio video map dialog title".split())
-BLOCK = frozenset("html body address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend dialog head svg math select option button canvas object audio video map".split())
-CLOSES_P = BLOCK - frozenset("html body head button select option td th tr tbody thead tfoot caption svg math object map audio video canvas".split())
+NEVER = frozenset("head script style noscript template iframe svg form select textarea input option title".split())
+BLOCK = frozenset("html body address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend dialog head svg select option button".split())
+CLOSES_P = BLOCK - frozenset("html body head button select option td th tr tbody thead tfoot caption svg".split())
 SELF_ENDING = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "tbody": ("tbody thead tfoot tr td th", ("table",)), "thead": ("tbody thead tfoot tr td th", ("table",)), "tfoot": ("tbody thead tfoot tr td th", ("table",))}
-# Words of class, id and role that speak for or against main text.
-AGAINST = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promos promotion nav navbar navigation navi menu menus menubar breadcrumb breadcrumbs sidebar sidebars side rail aside complementary footer foot bottom contentinfo copyright legal header masthead top topbar cookie cookies consent gdpr notice notices alert warning popup popups modal overlay comment comments commentary disqus reply replies respond reader readers reviews share sharing social follow related recommended recommendations more trending popular newsletter subscribe subscription signup login signin register search form widget widgets toolbar pager pagination tags tagcloud skip links outbrain taboola".split())
-FOR = frozenset("article articles post posts entry content contents main story body text prose markdown page hentry blogpost document doc".split())
+# Elements that no implied end looks beyond.
+CLOSED = ("table", "button", "article", "section", "div", "aside", "main", "body", "form", "ul", "ol", "blockquote")
+# Class names that begin so tell of the page's state, not of the element.
+STATE = re.compile(r"(?:has|with|without|no|is|not)[-_]")
 # Blocks that carry text and follow the state of the container around them.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote table thead tbody tfoot tr td th caption figure figcaption hgroup address summary".split())
 TEMPER = 0.25  # of the evidence of text and its blocks: they are many and alike, so each counts less
-LEVELS = ("none", "for", "against", "both")
+WRAPS, MAIN, OFF = 0, 1, 2
+
+
+def _scaled(v: list[float]) -> list[float]:
+    s = sum(v)
+    return [x / s for x in v]
 
 
 class Node:
@@ -46,22 +52,25 @@ class Node:
         self.linked = 0
 
 
-def _attributes(source: str) -> tuple[str, bool | None]:
+def _attributes(source: str) -> tuple[tuple[str, ...], bool | None]:
+    """Words of class, id and role, and whether the element is marked as main text."""
     words, main = set(), None
     for name, a, b, c in ATTRIBUTE.findall(source):
         if name[:5] == "data-":
             main = name == "data-main"
         else:
-            words.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()))
-    good, bad = bool(words & FOR), bool(words & AGAINST)
-    return LEVELS[good + 2 * bad], main
+            for label in (a or b or c).split():
+                if not STATE.match(label):
+                    words.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", label).lower()))
+    return tuple(sorted(words)), main
 
 
 def parse(source: str) -> list[Node]:
     """Nodes in page order, the root first. Broken markup is read leniently and in linear time."""
-    root = Node("html", "none", None, False, False)
+    root = Node("html", (), None, False, False)
     nodes, here, links = [root], root, 0
     stack: list[tuple[str, Node]] = [("html", root)]
+    places: dict[str, list[int]] = defaultdict(list)  # where the open elements of a tag are in the stack
     runs: list[str] = []
     linked = 0
 
@@ -70,7 +79,7 @@ def parse(source: str) -> list[Node]:
         if runs:
             text = " ".join(html.unescape("".join(runs)).split())
             if text:
-                leaf = Node("#text", "none", here, here.off, here.main)
+                leaf = Node("#text", (), here, here.off, here.main)
                 leaf.text, leaf.linked = text, linked
                 here.children.append(leaf)
                 nodes.append(leaf)
@@ -88,9 +97,14 @@ def parse(source: str) -> list[Node]:
         nonlocal here
         if any(t in BLOCK for t, _ in stack[to:]):
             flush()
+        for t, _ in stack[to:]:
+            places[t].pop()
         del stack[to:]
         here = stack[-1][1]
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     at, size = 0, len(source)
     while at < size:
         m = MARKUP.search(source, at)
@@ -110,12 +124,9 @@ def parse(source: str) -> list[Node]:
                 links = max(0, links - 1)
             if tag == "br":
                 runs.append(" ")
-            for k in range(len(stack) - 1, max(0, len(stack) - 400), -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if stack[k][0] in ("td", "th", "table") and tag not in BLOCK:
-                    break
+            k = last((tag,))
+            if k and (tag in BLOCK or k >= last(("td", "th", "table"))):
+                pop(k)
             continue
         if tag in ("br", "wbr", "img"):
             runs.append(" " if tag != "wbr" else "")
@@ -132,14 +143,12 @@ def parse(source: str) -> list[Node]:
             continue
         if tag in CLOSES_P or tag in SELF_ENDING:
             ends, within = SELF_ENDING.get(tag, ("", ()))
-            ends = ends.split()
-            for k in range(len(stack) - 1, max(0, len(stack) - 60), -1):
-                t = stack[k][0]
-                if t == "p" or t in ends:
-                    pop(k)
-                    if t != "p" and t == tag:
-                        break
-                elif t in within or t in ("table", "button", "article", "section", "div", "aside", "main", "body", "form", "ul", "ol", "blockquote") and t not in ends:
+            ends = ("p", *ends.split())
+            closed = last([t for t in (*within, *CLOSED) if t not in ends])
+            while (k := last(ends)) > closed:
+                found = stack[k][0]
+                pop(k)
+                if found == tag != "p":
                     break
         if tag == "hr":
             flush()
@@ -147,11 +156,12 @@ def parse(source: str) -> list[Node]:
         if tag in BLOCK:
             flush()
             links = 0
-            naming, main = _attributes(m[3]) if m[3] else ("none", None)
+            naming, main = _attributes(m[3]) if m[3] else ((), None)
             node = Node(tag, naming, here, here.off or tag in NEVER, here.main if main is None else main)
             here.children.append(node)
             nodes.append(node)
             here = node
+        places[tag].append(len(stack))
         stack.append((tag, here))
     flush()
     return nodes
@@ -159,7 +169,7 @@ def parse(source: str) -> list[Node]:
 
 def _features(n: Node) -> tuple:
     if n.text is None:
-        return (("tag", n.tag), ("naming", n.naming))
+        return (("tag", n.tag),)
     size = len(n.text)
     length = 0 if size < 25 else 1 if size < 90 else 2 if size < 250 else 3
     link = 0 if n.linked == 0 else 1 if 2 * n.linked < size else 2
@@ -169,88 +179,99 @@ def _features(n: Node) -> tuple:
 
 def _kind(n: Node) -> str:
     """What the transition from the parent depends on."""
-    if n.text is not None:
-        return "text"
-    if n.tag in TEXTUAL and n.naming == "none":
-        return "block"
-    return "container" if n.parent is None or n.parent.naming != "against" else "inner"
+    return "text" if n.text is not None else "block" if n.tag in TEXTUAL else "container"
+
+
+def _states(nodes: list[Node]) -> dict[int, int]:
+    """State of every node of a labelled page, by id(): an element outside the marks wraps if main text is below it."""
+    state = {id(n): MAIN if n.main else OFF for n in nodes}
+    for n in reversed(nodes):
+        if n.parent is not None and state[id(n)] != OFF and not n.parent.main:
+            state[id(n.parent)] = WRAPS
+    return state
 
 
 class Model:
     """Smoothed tables of root, transition and emission probabilities, counted from labelled pages.
 
-    A node's state in a labelled page is that of its nearest mark; a node outside all marks is not main.
+    A node in a labelled page is main text if its nearest mark says so; a node outside all marks is not.
+    Words and other features that no labelled page has say nothing.
     """
 
     def __init__(self, pages: list[str], smooth: float = 0.1):
-        emit: list[Counter] = [Counter(), Counter()]
-        kinds: list[Counter] = [Counter(), Counter()]
-        move = defaultdict(lambda: [smooth, smooth])
-        roots = [1.0, 1.0]
+        emit: dict[tuple, list[float]] = defaultdict(lambda: [smooth] * 3)
+        move = defaultdict(lambda: [smooth] * 3)
+        roots = [smooth] * 3
         for source in pages:
             nodes = parse(source)
+            state = _states(nodes)
             for n in nodes:
-                y = int(n.main)
-                for f in _features(n):
-                    emit[y][f] += 1
-                    kinds[y][f[0]] += 1
+                y = state[id(n)]
+                for f in (*_features(n), *(("word", w) for w in n.naming)):
+                    emit[f][y] += 1
                 if n.parent is None:
                     roots[y] += 1
                 else:
-                    move[_kind(n), int(n.parent.main)][y] += 1
+                    move[_kind(n), state[id(n.parent)]][y] += 1
         self.root = [r / sum(roots) for r in roots]
-        self.move = {(leaf, y): [m / sum(move[leaf, y]) for m in move[leaf, y]] for leaf in ("text", "block", "container", "inner") for y in (0, 1)}
-        values = defaultdict(set)
-        for c in emit:
-            for f in c:
-                values[f[0]].add(f)
-        self.ratio = {f: math.exp(math.log((emit[1][f] + smooth) / (kinds[1][f[0]] + smooth * (len(v) + 1))) - math.log((emit[0][f] + smooth) / (kinds[0][f[0]] + smooth * (len(v) + 1)))) for v in values.values() for f in v}
+        self.move = {(kind, y): [m / sum(move[kind, y]) for m in move[kind, y]] for kind in ("text", "block", "container") for y in (WRAPS, MAIN, OFF)}
+        total = defaultdict(lambda: [smooth] * 3)
+        for f, c in emit.items():
+            total[f[0]] = [t + x for t, x in zip(total[f[0]], c)]
+        self.emit = {f: [x / t for x, t in zip(c, total[f[0]])] for f, c in emit.items()}
+        self.seen: dict[tuple, list[float]] = {}
+
+    def evidence(self, n: Node) -> list[float]:
+        """Emission of a node for each state, up to a factor: that of its words, and the rest tempered for texts and their blocks."""
+        features = _features(n)
+        out = self.seen.get(features)  # few: tags of blocks and shapes of texts
+        if out is None:
+            power = 1.0 if _kind(n) == "container" else TEMPER
+            out = [1.0] * 3
+            for f in features:
+                out = [o * e**power for o, e in zip(out, self.emit.get(f, (1.0,) * 3))]
+            out = self.seen[features] = _scaled(out)
+        for w in n.naming:
+            if ("word", w) in self.emit:
+                out = _scaled([o * e for o, e in zip(out, self.emit["word", w])])
+        return out
 
     def marginals(self, nodes: list[Node], root: list[float] | None = None) -> list[float]:
-        """Probability of main text for each node, exact on the tree; messages are kept as pairs that sum to one."""
+        """Probability of main text for each node, exact on the tree; messages are scaled to sum to one."""
         place = {id(n): i for i, n in enumerate(nodes)}
-        belief = []
-        ratio = self.ratio
-        for n in nodes:
-            r = 1.0
-            for f in _features(n):
-                r *= ratio.get(f, 1.0)
-            if _kind(n) in ("text", "block"):
-                r **= TEMPER
-            belief.append([1 / (1 + r), r / (1 + r)])
+        belief = [self.evidence(n) for n in nodes]
         parent = [-1 if n.parent is None else place[id(n.parent)] for n in nodes]
-        up = [None] * len(nodes)
+        table = [[self.move[_kind(n), y] for y in (WRAPS, MAIN, OFF)] for n in nodes]
+        up: list = [None] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):
-            leaf = _kind(nodes[i])
-            a, b = belief[i]
-            m0, m1 = self.move[leaf, 0], self.move[leaf, 1]
-            u0, u1 = m0[0] * a + m0[1] * b, m1[0] * a + m1[1] * b
-            s = u0 + u1
-            up[i] = (u0 / s, u1 / s)
+            a, b, c = belief[i]
+            l, m, n = table[i]  # noqa: E741
+            x, y, z = l[0] * a + l[1] * b + l[2] * c, m[0] * a + m[1] * b + m[2] * c, n[0] * a + n[1] * b + n[2] * c
+            s = x + y + z
+            up[i] = x, y, z = x / s, y / s, z / s
             p = belief[parent[i]]
-            x, y = p[0] * up[i][0], p[1] * up[i][1]
-            s = x + y
-            p[0], p[1] = x / s, y / s
-        out = [0.0] * len(nodes)
-        root = root or self.root
-        a, b = belief[0][0] * root[0], belief[0][1] * root[1]
-        out[0] = b / (a + b)
+            a, b, c = p[0] * x, p[1] * y, p[2] * z
+            s = a + b + c
+            belief[parent[i]] = a / s, b / s, c / s
+        out: list = [None] * len(nodes)
+        out[0] = _scaled([b * r for b, r in zip(belief[0], root or self.root)])
         for i in range(1, len(nodes)):
-            leaf = _kind(nodes[i])
-            q = out[parent[i]]
-            c0, c1 = (1 - q) / up[i][0], q / up[i][1]  # the parent without this child's message
-            s = c0 + c1
-            c0, c1 = c0 / s, c1 / s
-            m0, m1 = self.move[leaf, 0], self.move[leaf, 1]
-            a, b = belief[i][0] * (c0 * m0[0] + c1 * m1[0]), belief[i][1] * (c0 * m0[1] + c1 * m1[1])
-            out[i] = b / (a + b)
-        return out
+            q, u = out[parent[i]], up[i]
+            a, b, c = q[0] / u[0], q[1] / u[1], q[2] / u[2]  # the parent without this child's message
+            s = a + b + c
+            a, b, c = a / s, b / s, c / s
+            l, m, n = table[i]  # noqa: E741
+            e = belief[i]
+            x, y, z = e[0] * (a * l[0] + b * m[0] + c * n[0]), e[1] * (a * l[1] + b * m[1] + c * n[1]), e[2] * (a * l[2] + b * m[2] + c * n[2])
+            s = x + y + z
+            out[i] = x / s, y / s, z / s
+        return [p[MAIN] for p in out]
 
     def main_text(self, source: str | None) -> str:
         if not source:
             return ""
         nodes = parse(source)
-        for root in (None, [0.0, 1.0]):  # a page that keeps nothing is read again as main text from its root down
+        for root in (None, [0.0, 1.0, 0.0]):  # a page that keeps nothing is read again as main text from its root down
             kept = [n.text for n, p in zip(nodes, self.marginals(nodes, root)) if n.text is not None and p > 0.5]
             if kept:
                 break

@@ -32,16 +32,29 @@ _SHAPES += [
 ]
 # Pages of nothing but text.
 _SHAPES += [f"<html data-main><body data-main>{b}</body></html>" for b in ("<p>L</p>", "<p>L</p><p>M</p><p>L</p>", "<h1>S</h1><p>L</p><p>M</p>", "<div>L</div><div>M</div>", "<h2>S</h2><p>M</p><p>S</p>", "<p>S</p>", "<p>M</p><p>M</p>")]
-# The same layout under many names: what is called so goes before, inside or after the main text.
-_NAMED = ["ad", "advert", "banner", "sponsored", "promo", "nav", "menu", "breadcrumbs", "sidebar", "header", "footer", "cookie-consent", "notice", "alert", "popup", "comments", "comment", "reply", "share", "social", "related", "newsletter", "subscribe", "login", "widget", "tags", "copyright"]
-_MAIN = ['article', 'div class="content"', 'main', 'div id="story"', 'section class="post"', 'article class="entry"', 'div class="text"']
+# The same layouts under many names: what is called so goes before, inside or after the main text.
+_NAMED = "ad ads adv advert advertisement banner sponsored sponsor promo nav navbar navigation menu breadcrumb breadcrumbs sidebar header masthead topbar footer bottom legal cookie consent gdpr notice notices alert warning popup modal overlay comments comment disqus reply replies respond reviews share sharing social follow related recommended trending newsletter subscribe signup login search form widget widgets toolbar pager pagination tags copyright complementary contentinfo skip links".split()
+_MAIN = ['article', 'div class="content"', 'main', 'div id="story"', 'section class="post"', 'article class="entry"', 'div class="text"', 'div', 'div class="article-body"', 'section', 'div id="main"', 'div class="page-content"', 'article class="hentry post"', 'div class="prose markdown"', 'div role="main"', 'div class="doc document"']
+# Names that say little: elements around main text, parts of it and other elements bear them alike.
+_VAGUE = "top more side page wrapper container layout row col site outer inner body block section left right center box item list first last column grid".split()
+_BODIES = ["<h1>S</h1><p>L</p>IN<p>L</p>", "<p>L</p>IN<p>L</p>", "<h1>S</h1><p>M</p>IN<p>L</p><h2>S</h2><p>L</p><p>S</p>", "<p>L</p><p>M</p>IN<ul><li>S</li><li>M</li></ul>", "<h2>S</h2><p>L</p>IN<p>M</p><p>L</p>", "<p>M</p>IN<p>L</p><blockquote>M</blockquote>", "<section><h2>S</h2><p>L</p></section>IN<section><p>M</p></section>", "<div><p>L</p></div>IN<section><p>M</p><p>L</p></section>"]
 for _i, _name in enumerate(_NAMED):
     _tag = ("div", "section", "aside", "div")[_i % 4]
-    _off = f'<{_tag} class="{_name}" DATA><h3>S</h3><p>L</p><p>M</p>M</{_tag}>'
+    _off = f'<{_tag} class="{_name}" DATA>{("<h3>S</h3><p>L</p><p>M</p>M", "M", "<p>M</p>", "<ul>U</ul>", "<p>L</p><p>L</p>")[_i % 5]}</{_tag}>'
     _other = f'<{("aside", "nav", "footer", "header")[_i % 4]}>{("<p>L</p>", "<h2>S</h2>", "<p>S</p>", "<h1>S</h1><p>M</p>")[_i % 4]}<div>M</div></{("aside", "nav", "footer", "header")[_i % 4]}>'
+    _open, _vague, _next = _MAIN[_i % len(_MAIN)], _VAGUE[_i % len(_VAGUE)], _VAGUE[(_i + 7) % len(_VAGUE)]
+    _inside = _off.replace("DATA", "data-off") + f'<p class="{_vague}">M</p>' if _i % 2 else f'<p>S</p><div class="{_next}"><p>M</p></div>'
+    _body = f'<{_open} data-main>{_BODIES[_i % len(_BODIES)].replace("IN", _inside)}</{_open.split()[0]}>'
+    _after = f'<div class="{_name}-list"><p>L</p><p>S</p></div>' if _i % 3 else f'<p class="{_name}">M</p><button>S</button><dialog>M</dialog>'
+    _SHAPES.append(f'<html><body>{_other}<div class="{_vague}">{_off.replace("DATA", "")}{_body}{_after}</div><aside class="{_next}"><p>L</p></aside><footer>M</footer></body></html>')
+# Parts named after the whole: what the last word says counts.
+for _i, _whole in enumerate("post entry article story content page main text".split()):
+    for _part in "footer share comments related tags nav sidebar ad".split():
+        _SHAPES.append(f'<html><body><div class="{_whole}" data-main><div class="{_whole}-body"><p>L</p><p>M</p></div><div class="{_whole}-{_part}" data-off>{("M", "<p>M</p>", "<ul>U</ul>")[_i % 3]}</div></div><div class="{_part}-{("body", "content", "text", "list")[_i % 4]}"><p>L</p></div></body></html>')
+# Main text without a heading, alone, in a wrapper or a wrapper's name.
+for _i, _vague in enumerate(_VAGUE):
     _open = _MAIN[_i % len(_MAIN)]
-    _inside = _off.replace("DATA", "data-off") if _i % 2 else ""
-    _body = f'<{_open} data-main><h1>S</h1><p>{"MLL"[_i % 3]}</p>{_inside}<p>L</p><h{2 + _i % 3}>S</h{2 + _i % 3}><p>{"LSM"[_i % 3]}</p><p>L</p><p>S</p></{_open.split()[0]}>'
-    _SHAPES.append(f'<html><body>{_other}<div class="wrap">{_off.replace("DATA", "")}{_body}<div class="{_name}-list"><p>L</p><p>S</p></div></div><aside><p>L</p></aside><footer>M</footer></body></html>')
+    _body = f'<{_open} data-main>{_BODIES[_i % len(_BODIES)].replace("IN", ("", "<div class=ad data-off>M</div>", "<div class=related data-off><p>M</p></div>")[_i % 3])}</{_open.split()[0]}>'
+    _SHAPES += [f'<html><body><div id="{_vague}">{_body}</div></body></html>', f'<html><body>{_body}<footer>M</footer></body></html>', f'<html><body><div class="{_vague}" data-main><p>L</p><p class="{_vague}">M</p><p>L</p></div></body></html>', f'<html data-main><body data-main><p>L</p><p>{"LM"[_i % 2]}</p></body></html>']
 
 PAGES = [s.replace(">L", ">" + _LONG).replace(">M", ">" + _MIDDLING).replace(">S", ">" + _SHORT).replace(">U", ">" + _MENU).replace("; M<", f"; {_MIDDLING}<") for s in _SHAPES]

@@ -241,18 +241,49 @@ def test_page_marginals_are_exact():
 
     total, good = 0.0, np.zeros(len(nodes))
     place = {id(n): i for i, n in enumerate(nodes)}
-    for s in itertools.product((0, 1), repeat=len(nodes)):
+    for s in itertools.product((pages.WRAPS, pages.MAIN, pages.OFF), repeat=len(nodes)):
         w = 1.0
         for n, y in zip(nodes, s):
-            r = float(np.prod([m.ratio.get(f, 1.0) for f in pages._features(n)]))
-            if pages._kind(n) in ("text", "block"):
-                r **= pages.TEMPER
-            w *= (r if y else 1.0) * (m.root[y] if n.parent is None else m.move[pages._kind(n), s[place[id(n.parent)]]][y])
+            e = 1.0
+            for f in pages._features(n):
+                e *= m.emit[f][y] ** (1 if pages._kind(n) == "container" else pages.TEMPER) if f in m.emit else 1
+            for word in n.naming:
+                e *= m.emit.get(("word", word), (1, 1, 1))[y]
+            w *= e * (m.root[y] if n.parent is None else m.move[pages._kind(n), s[place[id(n.parent)]]][y])
         total += w
-        good += w * np.array(s)
+        good += w * (np.array(s) == pages.MAIN)
     assert np.allclose(good / total, m.marginals(nodes))
 
 
+RIVER = "The river was low that summer, and the boats could not pass the second lock until the rains came in autumn. People walked along the banks to see it."
+MANY = "Nobody in the village had seen it so low before, and they spoke of it for many years."
+SHOES = "Buy our new shoes at half price today only"
+TALK = "I was there too and I can only say that it has been far worse, whatever the others write here."
+P2 = f"<p>{RIVER}</p><p>{MANY}</p>"
+LAYOUTS = [
+    P2, f"<html><body>{P2}</body></html>", f"<div>{P2}</div>", f'<article><p>{RIVER}</p><div class="ad">{SHOES}</div><p>{MANY}</p></article>',
+    f'<article><p>{RIVER}</p><div class="related">{SHOES}</div><p>{MANY}</p></article>', f'<article><p>{RIVER}</p><p class="more">{MANY}</p></article>',
+    f'<div id="top"><article>{P2}</article></div>', f'<div class="page has-sidebar"><div>{P2}</div></div>',
+    f'<nav><a href="/">Home</a></nav><div id="main"><p>{RIVER}</p><aside>{"<span>" * 401}{SHOES}</aside><p>{MANY}</p></div><footer>{SHOES}</footer>',
+    f'<div class="container"><div class="col">{P2}</div><div class="sidebar"><p>{SHOES}.</p></div></div><div class="comments"><p>{TALK}</p></div>',
+    f'<main><section><p>{RIVER}</p></section><section><p>{MANY}</p></section></main><div class="cookie-banner">{SHOES} <button>{SHOES}</button></div>',
+    f"<table><tr><td>{RIVER}</td></tr><tr><td>{MANY}</td></tr></table>", f"<ul><li>{RIVER}{'<i>' * 70}<li>{MANY}</ul>",
+    f'<article>{P2}</article><section class="comments"><article><p>{TALK}</p></article></section>',
+    f'<div class="post"><div class="post-body">{P2}</div><div class="post-footer">{SHOES}</div></div><div class="comment-list"><div class="comment"><p>{TALK}</p></div></div>',
+]
+
+
+@pytest.mark.parametrize("source", LAYOUTS)
+def test_no_layout_loses_its_article(source):
+    assert pages.Model(pages.PAGES).main_text(source) == f"{RIVER}\n\n{MANY}"
+
+
+def test_inline_formulas_and_fallbacks_stay():
+    m = pages.Model(pages.PAGES)
+    assert m.main_text(f"<article><p>The area is <math><mi>x</mi><mo>+</mo><mi>y</mi></math> in all the cases. {RIVER}</p><p>{MANY}</p></article>").startswith("The area is x+y in all the cases. The river")
+    assert "see map here" in m.main_text(f"<article><p>{RIVER} see <object>map</object> here.</p><p>{MANY}</p></article>")
+
+
 # 5: secrets
 
 BASE = [("assign", r"(?i:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+))", lambda m: len(m[2]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24)]
