@@ -35,7 +35,7 @@ HEAD = "<QI"
 # apostrophe, no underscore) between such a letter or digit and the end of a word.
 OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
 LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
-ENDING = re.compile(r"(?<=[0-9a-z\u00df-\u00f6\u00f8-\u024f])([!-&(-/:-@\[-^`{-~]++)(?=[ \t\n\r0-9a-z\u00df-\u00f6\u00f8-\u024f]|\Z)")
+ENDING = re.compile(r"([!-&(-/:-@\[-^`{-~](?<=[0-9a-zß-öø-ɏ][!-&(-/:-@\[-^`{-~])[!-&(-/:-@\[-^`{-~]*+)(?=[ \t\n\r0-9a-zß-öø-ɏ]|\Z)")
 
 
 def masked(data: bytes) -> int:
@@ -85,7 +85,7 @@ class Encoder:
             self.known = {"": b""}
         rows = [self._pieces(t) for t in texts]
         known = self.known
-        new = list(set().union(*rows) - known.keys())
+        new = list(set().union(*rows).difference(known))  # looks up the pieces; `- known.keys()` would walk all of known
         easy = [p for p in new if LETTERS.fullmatch(p)] if self.letters else []
         hard = list(set(new).difference(easy)) if easy else new
         for tokenizer, todo in ((self.letters, easy), (self.tokenizer, hard)):
