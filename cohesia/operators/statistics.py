@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -137,19 +138,45 @@ def calibration(df: DataFrame, keys: Sequence[str], y: str, prob: str, bins: int
 # ---- rank tests ------------------------------------------------------------------------------
 
 
+EXACT_RANKS = 50  # the signed-rank null is enumerated up to this many differences
+
+
+def _signed_rank_tail(ties: Column, w_plus: Column, n: Column) -> Column:
+    """P(W+ <= w_plus) when every sign is a fair coin; ties(r: twice the midrank, c: how often) are one group's ranks.
+
+    The chances of all sums of doubled ranks are built up rank by rank, so ties need no approximation.
+    """
+    ranks = F.flatten(F.transform(ties, lambda t: F.array_repeat(t["r"], t["c"].cast("int"))))
+    sums = F.sequence(F.lit(0), (n * (n + 1)).cast("int"))
+    start = F.transform(sums, lambda x: F.when(x == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+    def add(chance, r):
+        return F.transform(chance, lambda c, x: c / 2 + F.when(x >= r, F.get(chance, x - r)).otherwise(F.lit(0.0)) / 2)
+
+    below = F.slice(F.aggregate(ranks, start, add), F.lit(1), (2 * w_plus + 1).cast("int"))
+    return F.least(F.aggregate(below, F.lit(0.0), lambda acc, c: acc + c), F.lit(1.0))
+
+
 def wilcoxon_less(df: DataFrame, keys: Sequence[str], value: str, centre: float = 0.5) -> DataFrame:
-    """One-sided signed-rank test that values sit below `centre`: W+, z and p (tie-corrected normal)."""
+    """One-sided signed-rank test that values sit below `centre`: n, W+, z and p.
+
+    Differences of zero are left out. p is exact up to EXACT_RANKS differences, ties included, and the
+    tie-corrected normal one beyond; z is NULL where the variance is zero. A group without differences has no row.
+    """
     keys = list(keys)
     d = df.withColumn("__d", F.col(value) - F.lit(centre)).where("__d <> 0").withColumn("__a", F.abs("__d"))
     up = F.when(F.col("__d") > 0, 1).otherwise(0)
     t = midranks(d, keys, "__a", {"__c": F.lit(1), "__u": up})
     rank = F.col("__c_below") + (F.col("__c") + 1) / 2
     c = F.col("__c").cast("double")
-    s = t.groupBy(*keys).agg(F.sum(F.col("__u") * rank).alias("w_plus"), F.sum("__c").alias("n"), F.sum(c * c * c - c).alias("tie"))
+    # At most EXACT_RANKS entries a group; complete where they are used.
+    low = F.when(F.col("__c_below") < EXACT_RANKS, F.struct((2 * rank).cast("int").alias("r"), F.col("__c").alias("c")))
+    s = t.groupBy(*keys).agg(F.sum(F.col("__u") * rank).alias("w_plus"), F.sum("__c").alias("n"), F.sum(c * c * c - c).alias("tie"), F.collect_list(low).alias("low"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(var)
-    return s.select(*keys, "n", "w_plus", F.when(var > 0, z).alias("z")).withColumn("p", 1 - normal_tail(F.col("z")))
+    p = F.when(F.col("n") <= EXACT_RANKS, _signed_rank_tail(F.col("low"), F.col("w_plus"), F.col("n"))).otherwise(1 - normal_tail(z))
+    return s.select(*keys, "n", "w_plus", F.when(var > 0, z).alias("z"), p.alias("p"))
 
 
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, row_id: str) -> DataFrame:
@@ -315,10 +342,13 @@ def simulated_pairs(cells: DataFrame, sims: int, seed: int) -> DataFrame:
     s = cells.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
     s = s.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n1") + F.col("n0") - 1).cast("int"))))
     y = (F.col("i") < F.col("n1")).cast("int")
-    k = ("cell", "sim", "i")
-    shared = F.sqrt("r") * normal(seed, *k, F.lit("z"))
-    own = F.sqrt(1 - F.col("r"))
-    return s.select("cell", "sim", y.alias("y"), (F.col("mu_a") * y + shared + own * normal(seed, *k, F.lit("p"))).alias("a"), (F.col("mu_b") * y + shared + own * normal(seed, *k, F.lit("q"))).alias("b"))
+    return s.select("cell", "sim", y.alias("y"), *_scores(y, "r", seed, "cell", "sim", "i"))
+
+
+def _scores(y: Column, r: str, seed: int, *keys) -> list[Column]:
+    """Columns a and b of one simulated subject, with r of the variance shared."""
+    shared, own = F.sqrt(r) * normal(seed, *keys, F.lit("z")), F.sqrt(1 - F.col(r))
+    return [(F.col(f"mu_{c}") * y + shared + own * normal(seed, *keys, F.lit(k))).alias(c) for c, k in (("a", "p"), ("b", "q"))]
 
 
 def separation(auc_value: float) -> float:
@@ -326,33 +356,81 @@ def separation(auc_value: float) -> float:
     return 2.0**0.5 * normal_quantile(auc_value)
 
 
+def _paired_p(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """p of the paired test on (y, a, b) for many groups of simulated subjects: one exchange, placements by windows.
+
+    A group is one simulation, so its size is that of the caller's grid.
+    """
+    group = Window.partitionBy(*keys)
+    pos = F.col("y").cast("long")
+
+    def placed(score):
+        up_to = group.orderBy(score).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        equal = Window.partitionBy(*keys, score)
+        mid = lambda c: F.sum(c).over(up_to) - F.sum(c).over(equal) / 2
+        return F.when(F.col("y") == 1, mid(1 - pos) / F.col("n")).otherwise(1 - mid(pos) / F.col("m"))
+
+    t = rows.repartition(*keys).withColumns({"m": F.sum(pos).over(group), "n": F.sum(1 - pos).over(group)})
+    t = t.withColumn("d", placed("a") - placed("b"))
+    is_pos = F.col("y") == 1
+    s = t.groupBy(*keys).agg(
+        F.avg(F.when(is_pos, F.col("d"))).alias("delta"),
+        (F.coalesce(F.var_samp(F.when(is_pos, F.col("d"))), F.lit(0.0)) / F.max("m") + F.coalesce(F.var_samp(F.when(~is_pos, F.col("d"))), F.lit(0.0)) / F.max("n")).alias("var"),
+    )
+    return s.select(*keys, F.when(F.col("var") > 0, two_sided_p(F.col("delta") / F.sqrt("var"))).otherwise(F.lit(1.0)).alias("p"))
+
+
 def power_grid(cells: DataFrame, sims: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """Share of simulations in which the paired test rejects, per cell."""
-    rows = cut(simulated_pairs(cells, sims, seed))
-    n = cells.agg(F.max(F.col("n1") + F.col("n0"))).first()[0]
-    t = delong(rows, ["cell", "sim"], "y", "a", "b", group_rows=n)
+    t = _paired_p(simulated_pairs(cells, sims, seed), ["cell", "sim"])
     return t.groupBy("cell").agg(F.avg((F.col("p") < alpha).cast("double")).alias("power"), F.count(F.lit(1)).alias("sims"))
 
 
-def required_n(targets: DataFrame, sims: int, seed: int, power: float = 0.80, lo: int = 40, hi: int = 4000, base: float = 0.70) -> DataFrame:
-    """Smallest size in [lo, hi] reaching `power` per targets(cell, delta, r, event_rate), NULL if none does; all cells bisect together."""
-    st = [dict(r.asDict(), lo=lo, hi=hi, best=None) for r in targets.collect()]  # one row per grid cell
-    spark = targets.sparkSession
-    while any(s["lo"] <= s["hi"] for s in st):
-        live = [s for s in st if s["lo"] <= s["hi"]]
-        rows = []
-        for s in live:
-            mid = (s["lo"] + s["hi"]) // 2
-            n1 = max(int(round(mid * s["event_rate"])), 2)
-            rows.append((s["cell"], n1, max(mid - n1, 2), separation(base + s["delta"]), separation(base), float(s["r"])))
-        got = {r["cell"]: r["power"] for r in power_grid(spark.createDataFrame(rows, "cell string, n1 int, n0 int, mu_a double, mu_b double, r double"), sims, seed).collect()}
-        for s in live:
-            mid = (s["lo"] + s["hi"]) // 2
-            if got[s["cell"]] >= power:
-                s["best"], s["hi"] = mid, mid - 1
-            else:
-                s["lo"] = mid + 1
-    return spark.createDataFrame([(s["cell"], s["best"]) for s in st], "cell string, n int")
+PARTS = 8  # parts that a round of the size search cuts an interval into
+
+
+def search_rounds(lo: int, hi: int) -> int:
+    """Rounds until every interval that can be left is one size wide: the first cuts by ratio, the others evenly."""
+    width, rounds = hi + 1 - (hi + 1) * ((lo - 1) / (hi + 1)) ** (1 / PARTS) + 1, 1
+    while width > 1:
+        width, rounds = math.ceil(width / PARTS), rounds + 1
+    return rounds
+
+
+def required_n(targets: DataFrame, sims: int, seed: int, power: float = 0.80, lo: int = 40, hi: int = 4000, base: float = 0.70, alpha: float = 0.05) -> DataFrame:
+    """Smallest size in [lo, hi] reaching `power` per targets(cell, delta, r, event_rate), NULL if none does.
+
+    Subject i of a class is the same in every size of a simulation, so sizes are compared on common draws. All
+    cells search together: a round tries PARTS - 1 sizes inside each open interval, power counts as reached from
+    the first size that reaches it, and the interval before that size is kept. The number of rounds is fixed by
+    lo and hi; nothing returns to the driver. The gain `delta` needs base + delta < 1.
+    """
+    cells = targets.select("cell", F.col("delta").cast("double").alias("delta"), F.col("r").cast("double").alias("r"), F.col("event_rate").cast("double").alias("rate"))
+    # Shifts of the few gains in the table, by the normal quantile; rows of the grid, not data.
+    shift = F.pandas_udf(lambda d: d.map(lambda x: separation(base + x)), "double")
+    state = cut(cells.select("cell", "r", "rate", shift("delta").alias("mu_a"), F.lit(separation(base)).alias("mu_b"), F.lit(lo - 1).alias("below"), F.lit(hi + 1).alias("at")))
+    parts = F.sequence(F.lit(1), F.lit(PARTS - 1))
+    for step in range(search_rounds(lo, hi)):
+        wide = (F.col("at") - F.col("below")).cast("double")
+        if step == 0:
+            size = lambda j: F.floor(F.col("below") * F.pow(F.col("at") / F.col("below"), j / PARTS) + 0.5)
+        else:
+            size = lambda j: F.floor(F.col("below") + wide * j / PARTS + 0.5)
+        tried = F.filter(F.array_distinct(F.transform(parts, lambda j: size(j).cast("int"))), lambda x: (x > F.col("below")) & (x < F.col("at")))
+        grid = state.select("cell", "r", "rate", "mu_a", "mu_b", F.explode(tried).alias("size"))
+        n1 = F.greatest(F.floor(F.col("size") * F.col("rate") + 0.5).cast("int"), F.lit(2))
+        grid = grid.withColumn("n1", n1).withColumn("n0", F.greatest(F.col("size") - F.col("n1"), F.lit(2)))
+        rows = grid.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).repartition("cell", "size", "sim")
+        rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n1") + F.col("n0") - 1)))
+        y = (F.col("k") < F.col("n1")).cast("int")
+        rows = rows.withColumn("y", y).withColumn("i", F.when(F.col("y") == 1, F.col("k")).otherwise(F.col("k") - F.col("n1")))
+        rows = rows.select("cell", "size", "sim", "y", *_scores(F.col("y"), "r", seed, "cell", "sim", "y", "i"))
+        seen = _paired_p(rows, ["cell", "size", "sim"]).groupBy("cell", "size").agg((F.count_if(F.col("p") < alpha) >= power * F.count(F.lit(1))).alias("reached"))
+        seen = seen.groupBy("cell").agg(F.min(F.when(F.col("reached"), F.col("size"))).alias("first"), F.collect_list("size").alias("sizes"))  # at most PARTS - 1
+        at = F.coalesce("first", "at")
+        below = F.coalesce(F.array_max(F.filter("sizes", lambda x: x < at)), F.col("below"))
+        state = cut(state.join(seen, "cell", "left").select("cell", "r", "rate", "mu_a", "mu_b", below.alias("below"), at.alias("at")))
+    return state.select("cell", F.when(F.col("at") <= hi, F.col("at")).alias("n"))
 
 
 # ---- misc ------------------------------------------------------------------------------------

@@ -238,3 +238,58 @@ def test_tables(spark, tmp_path):
     s = spark.range(10).withColumnRenamed("id", "subject")
     tb.with_cache(s.where("subject < 4"), str(tmp_path / "c"), {"k": 1}, fn)
     assert tb.with_cache(s, str(tmp_path / "c"), {"k": 1}, fn).count() == 10 and calls == [4, 6]
+
+
+def test_signed_rank_is_exact_for_small_groups(spark):
+    r = np.random.default_rng(4)
+    rows = [(g, float(v)) for g in range(1, 15) for v in np.round(r.normal(0.45, 0.3, g), 1 if g % 2 else 6)]
+    rows += [(99, float(v)) for v in r.normal(0.45, 0.3, 80)] + [(100, 0.5)]
+    got = {x.g: x for x in st.wilcoxon_less(spark.createDataFrame(rows, "g int, v double"), ["g"], "v").collect()}
+    assert 100 not in got
+    for g in range(1, 15):
+        d = np.array([v - 0.5 for k, v in rows if k == g])
+        d = d[d != 0]
+        if not len(d):
+            assert g not in got
+            continue
+        rank = pd.Series(np.abs(d)).rank().to_numpy()
+        w = rank[d > 0].sum()
+        signs = (np.arange(2 ** len(d))[:, None] >> np.arange(len(d))) & 1
+        assert got[g].w_plus == pytest.approx(w) and got[g].p == pytest.approx(np.mean(signs @ rank <= w + 1e-9), abs=1e-12)
+    assert got[99].p == pytest.approx(1 - 0.5 * math.erfc(got[99].z / 2**0.5), abs=1e-6)
+
+
+def test_simulated_test_equals_delong(spark, scored):
+    _, df = scored
+    two = df.withColumn("k", F.col("id") % 2)
+    want = {x.k: x.p for x in st.delong(two, ["k"], "y", "a", "b").collect()}
+    got = {x.k: x.p for x in st._paired_p(two.select("k", "y", "a", "b"), ["k"]).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_required_size(spark):
+    """The search against every size tried one by one, on the same draws."""
+    lo, hi, sims, target = 10, 60, 24, 0.6
+    cells = [("easy", 0.25, 0.5, 0.5), ("hard", 0.2, 0.1, 0.3), ("never", 0.001, 0.5, 0.5)]
+    t = spark.createDataFrame(cells, "cell string, delta double, r double, event_rate double")
+    got = {x.cell: x.n for x in st.required_n(t, sims, 3, target, lo, hi).collect()}
+    base = st.separation(0.7)
+    grid = [(c, n, max(int(n * e + 0.5), 2), st.separation(0.7 + d), base, r) for c, d, r, e in cells for n in range(lo, hi + 1)]
+    g = spark.createDataFrame(grid, "cell string, size int, n1 int, mu_a double, mu_b double, r double").withColumn("n0", F.greatest(F.col("size") - F.col("n1"), F.lit(2)))
+    g = g.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).withColumn("k", F.explode(F.expr("sequence(0, n1 + n0 - 1)")))
+    g = g.withColumn("y", (F.col("k") < F.col("n1")).cast("int")).withColumn("i", F.when(F.col("y") == 1, F.col("k")).otherwise(F.col("k") - F.col("n1")))
+    rows = g.select("cell", "size", "sim", "y", *st._scores(F.col("y"), "r", 3, "cell", "sim", "y", "i"))
+    p = st.delong(rows, ["cell", "size", "sim"], "y", "a", "b").groupBy("cell", "size").agg(F.avg((F.col("p") < 0.05).cast("double")).alias("w"))
+    power = {(x.cell, x.size): x.w for x in p.collect()}
+    for c, *_ in cells:
+        a, b = lo - 1, hi + 1
+        first = True
+        while b - a > 1:
+            tried = sorted({int(math.floor((a * (b / a) ** (j / st.PARTS) if first else a + (b - a) * j / st.PARTS) + 0.5)) for j in range(1, st.PARTS)})
+            tried = [x for x in tried if a < x < b]
+            b = next((x for x in tried if power[c, x] >= target), b)
+            a = max([x for x in tried if x < b], default=a)
+            first = False
+        assert got[c] == (b if b <= hi else None), c
+    assert got["never"] is None and got["easy"] is not None
+    assert st.required_n(t.limit(0), sims, 3, target, lo, hi).count() == 0
