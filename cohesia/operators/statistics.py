@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import normal, uniform
 from ..functions.tails import mcnemar, normal_quantile, normal_tail, two_sided_p
-from ..plans.lineage import cut
+from ..plans.lineage import cut, width
 from ..plans.ordered import midranks, quantiles, row_numbers
 
 # ---- ranks and ROC ---------------------------------------------------------------------------
@@ -334,17 +336,6 @@ def n_required(n: Column, z: Column, level: str = "80") -> Column:
 # ---- simulated power -------------------------------------------------------------------------
 
 
-def simulated_pairs(cells: DataFrame, sims: int, seed: int) -> DataFrame:
-    """Binormal paired scores for cells(cell, n1, n0, mu_a, mu_b, r): sims x (n1+n0) rows per cell.
-
-    Sized by the caller's grid; every row derives from its own key, so no task holds a cell.
-    """
-    s = cells.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    s = s.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n1") + F.col("n0") - 1).cast("int"))))
-    y = (F.col("i") < F.col("n1")).cast("int")
-    return s.select("cell", "sim", y.alias("y"), *_scores(y, "r", seed, "cell", "sim", "i"))
-
-
 def _scores(y: Column, r: str, seed: int, *keys) -> list[Column]:
     """Columns a and b of one simulated subject, with r of the variance shared."""
     shared, own = F.sqrt(r) * normal(seed, *keys, F.lit("z")), F.sqrt(1 - F.col(r))
@@ -356,33 +347,45 @@ def separation(auc_value: float) -> float:
     return 2.0**0.5 * normal_quantile(auc_value)
 
 
-def _paired_p(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """p of the paired test on (y, a, b) for many groups of simulated subjects: one exchange, placements by windows.
+def _placed(pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the other class below each positive and above each negative, ties half."""
+    p, n = np.sort(pos), np.sort(neg)
+    share = lambda x, other: (np.searchsorted(other, x, "left") + np.searchsorted(other, x, "right")) / (2 * len(other))
+    return share(pos, n), 1 - share(neg, p)
 
-    A group is one simulation, so its size is that of the caller's grid.
-    """
-    group = Window.partitionBy(*keys)
-    pos = F.col("y").cast("long")
-
-    def placed(score):
-        up_to = group.orderBy(score).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        equal = Window.partitionBy(*keys, score)
-        mid = lambda c: F.sum(c).over(up_to) - F.sum(c).over(equal) / 2
-        return F.when(F.col("y") == 1, mid(1 - pos) / F.col("n")).otherwise(1 - mid(pos) / F.col("m"))
-
-    t = rows.repartition(*keys).withColumns({"m": F.sum(pos).over(group), "n": F.sum(1 - pos).over(group)})
-    t = t.withColumn("d", placed("a") - placed("b"))
-    is_pos = F.col("y") == 1
-    s = t.groupBy(*keys).agg(
-        F.avg(F.when(is_pos, F.col("d"))).alias("delta"),
-        (F.coalesce(F.var_samp(F.when(is_pos, F.col("d"))), F.lit(0.0)) / F.max("m") + F.coalesce(F.var_samp(F.when(~is_pos, F.col("d"))), F.lit(0.0)) / F.max("n")).alias("var"),
-    )
-    return s.select(*keys, F.when(F.col("var") > 0, two_sided_p(F.col("delta") / F.sqrt("var"))).otherwise(F.lit(1.0)).alias("p"))
+
+def _paired_moments(pos: pd.Series, neg: pd.Series) -> pd.DataFrame:
+    """Mean difference of the two AUCs and its variance from a, b, a, b, ... of each class."""
+    out = []
+    spread = lambda x: x.var(ddof=1) / len(x) if len(x) > 1 else 0.0
+    for p, n in zip(pos, neg):
+        (pa, na), (pb, nb) = _placed(p[0::2], n[0::2]), _placed(p[1::2], n[1::2])
+        out.append(((pa - pb).mean(), spread(pa - pb) + spread(na - nb)))
+    return pd.DataFrame(out, columns=["delta", "var"])
+
+
+def _paired_p(pos: Column, neg: Column) -> Column:
+    """p of the paired test between the scores a and b of two classes, each an array a, b, a, b, ..."""
+    t = F.pandas_udf(_paired_moments, "delta double, var double")(pos, neg)
+    return F.transform(F.array(t), lambda t: F.when(t["var"] > 0, two_sided_p(t["delta"] / F.sqrt(t["var"]))).otherwise(F.lit(1.0)))[0]
+
+
+def _class_draws(n: Column, y: int, key, seed: int) -> Column:
+    """Scores of n simulated subjects of a class; a whole simulation is one row, so nothing is shuffled or grouped."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.array(*_scores(F.lit(y), "r", seed, "cell", "sim", *key(i)))))
+
+
+def _simulations(cells: DataFrame, sims: int) -> DataFrame:
+    """One row per simulation of each cell, dealt over all tasks."""
+    s = cells.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
+    return s.repartition(4 * width(cells.sparkSession), "sim", "cell", *[c for c in ("size",) if c in cells.columns])
 
 
 def power_grid(cells: DataFrame, sims: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    """Share of simulations in which the paired test rejects, per cell."""
-    t = _paired_p(simulated_pairs(cells, sims, seed), ["cell", "sim"])
+    """Share of simulations in which the paired test rejects, per cells(cell, n1, n0, mu_a, mu_b, r); classes of at least one."""
+    pos = _class_draws(F.col("n1"), 1, lambda i: (i,), seed)
+    neg = _class_draws(F.col("n0"), 0, lambda i: (i + F.col("n1"),), seed)
+    t = _simulations(cells, sims).select("cell", pos.alias("pos"), neg.alias("neg")).select("cell", _paired_p(F.col("pos"), F.col("neg")).alias("p"))
     return t.groupBy("cell").agg(F.avg((F.col("p") < alpha).cast("double")).alias("power"), F.count(F.lit(1)).alias("sims"))
 
 
@@ -420,12 +423,9 @@ def required_n(targets: DataFrame, sims: int, seed: int, power: float = 0.80, lo
         grid = state.select("cell", "r", "rate", "mu_a", "mu_b", F.explode(tried).alias("size"))
         n1 = F.greatest(F.floor(F.col("size") * F.col("rate") + 0.5).cast("int"), F.lit(2))
         grid = grid.withColumn("n1", n1).withColumn("n0", F.greatest(F.col("size") - F.col("n1"), F.lit(2)))
-        rows = grid.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).repartition("cell", "size", "sim")
-        rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n1") + F.col("n0") - 1)))
-        y = (F.col("k") < F.col("n1")).cast("int")
-        rows = rows.withColumn("y", y).withColumn("i", F.when(F.col("y") == 1, F.col("k")).otherwise(F.col("k") - F.col("n1")))
-        rows = rows.select("cell", "size", "sim", "y", *_scores(F.col("y"), "r", seed, "cell", "sim", "y", "i"))
-        seen = _paired_p(rows, ["cell", "size", "sim"]).groupBy("cell", "size").agg((F.count_if(F.col("p") < alpha) >= power * F.count(F.lit(1))).alias("reached"))
+        draws = [_class_draws(F.col(f"n{y}"), y, lambda i, y=y: (F.lit(y), i), seed).alias(f"s{y}") for y in (1, 0)]
+        tests = _simulations(grid, sims).select("cell", "size", *draws).select("cell", "size", _paired_p(F.col("s1"), F.col("s0")).alias("p"))
+        seen = tests.groupBy("cell", "size").agg((F.count_if(F.col("p") < alpha) >= power * F.count(F.lit(1))).alias("reached"))
         seen = seen.groupBy("cell").agg(F.min(F.when(F.col("reached"), F.col("size"))).alias("first"), F.collect_list("size").alias("sizes"))  # at most PARTS - 1
         at = F.coalesce("first", "at")
         below = F.coalesce(F.array_max(F.filter("sizes", lambda x: x < at)), F.col("below"))
