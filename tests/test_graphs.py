@@ -50,6 +50,15 @@ def cohort(spark):
     return e, n, spark.createDataFrame(e).cache(), spark.createDataFrame(n).cache()
 
 
+def test_large_graphs_that_settle_in_different_cycles(spark):
+    rows = [("path", i, i + 1, 1.0) for i in range(150)] + [("star", 0, i, 1.0 + i / 100) for i in range(1, 70)]
+    edges = spark.createDataFrame(rows, "graph_id string, src long, dst long, w double")
+    nodes = edges.select(G, F.col("src").alias("node_id")).union(edges.select(G, "dst")).distinct()
+    v = sp.eigenvalues(sp.smallest_eigpairs(edges, nodes, 3)).orderBy(G, "idx").toPandas()
+    assert list(v.n) == [151] * 3 + [70] * 3
+    assert np.allclose(v[v[G] == "path"].val, [2 - 2 * math.cos(math.pi * k / 151) for k in range(3)], atol=1e-6)
+
+
 def test_path_and_ring_spectra(spark):
     n = 40
     rows = [("path", i, i + 1, 1.0) for i in range(n - 1)] + [("ring", i, (i + 1) % n, 1.0) for i in range(n)]
