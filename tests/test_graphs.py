@@ -50,6 +50,21 @@ def cohort(spark):
     return e, n, spark.createDataFrame(e).cache(), spark.createDataFrame(n).cache()
 
 
+def test_large_component_tasks_stay_small(spark):
+    """A shuffle of ids that compress well is not merged into a few large tasks."""
+    n = 2_000_000
+    edges = spark.range(0, n, 1, 8).select(F.lit("g").alias(G), F.xxhash64("id").alias("src"), F.xxhash64(F.col("id") + n).alias("dst"))
+    assert edges.groupBy(G, "src", "dst").count().select(F.spark_partition_id().alias("p")).distinct().count() >= 10
+
+
+def test_components_of_large_and_small_graphs_together(spark):
+    rows = [("big", i, i + 1) for i in range(0, 60, 2)] + [("big", i, i + 10) for i in range(0, 40, 10)] + [("small", 4, 2), ("small", 2, 7)]
+    edges = spark.createDataFrame(rows, "graph_id string, src long, dst long")
+    nodes = edges.select(G, F.col("src").alias("node_id")).union(edges.select(G, "dst")).union(spark.createDataFrame([("bare", 5)], "graph_id string, node_id long")).distinct()
+    a, b = (cc.components(edges, nodes, local_edges=k).orderBy(G, "node_id").toPandas() for k in (10, 1000))
+    assert a.equals(b) and len(a) == nodes.count()
+
+
 def test_large_graphs_that_settle_in_different_cycles(spark):
     rows = [("path", i, i + 1, 1.0) for i in range(150)] + [("star", 0, i, 1.0 + i / 100) for i in range(1, 70)]
     edges = spark.createDataFrame(rows, "graph_id string, src long, dst long, w double")
