@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import normal, uniform
 from ..functions.tails import mcnemar, normal_quantile, normal_tail, two_sided_p
-from ..plans.lineage import cut, width
+from ..plans.lineage import cut, tasks, width
 from ..plans.ordered import midranks, quantiles, row_numbers
 
 # ---- ranks and ROC ---------------------------------------------------------------------------
@@ -81,12 +81,21 @@ def stratified_resample(df: DataFrame, row_id: str, y: str, draws: int, seed: in
     """
     base = cut(row_numbers(df, [y], [F.col(row_id)], "__i"))
     size = base.groupBy(y).agg(F.count(F.lit(1)).alias("__n"))
-    slots = base.select(y, F.col("__i").alias("slot")).join(size, y)
-    rep = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("replicate")
-    picks = slots.select(y, "slot", "__n", rep)
-    pick = F.least(F.floor(uniform(seed, "replicate", F.col(y).cast("int"), "slot") * F.col("__n")), F.col("__n") - 1).cast("long")
-    counts = picks.groupBy("replicate", y, pick.alias("__i")).agg(F.count(F.lit(1)).alias("times"))
-    return counts.join(base, [y, "__i"]).drop("__i")
+    return _redraw(base, size, [y], draws, lambda: uniform(seed, "replicate", F.col(y).cast("int"), "slot"))
+
+
+def _redraw(base: DataFrame, size: DataFrame, keys: Sequence[str], draws: int, at) -> DataFrame:
+    """(replicate, row columns, times) of base(keys, __i, ...), redrawn within keys at their own size(keys, __n).
+
+    Slots are dealt over enough tasks before each becomes `draws` rows, and so are the chosen rows.
+    """
+    wide = tasks(base.sparkSession, base.count() * draws)
+    slots = base.select(*keys, F.col("__i").alias("slot")).join(size, list(keys)).repartition(wide, *keys, "slot")
+    picks = slots.select(*keys, "slot", "__n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("replicate"))
+    pick = F.least(F.floor(at() * F.col("__n")), F.col("__n") - 1).cast("long")
+    picks = picks.select(*keys, "replicate", pick.alias("__i")).repartition(wide, *keys, "__i")
+    counts = picks.groupBy(*keys, "__i", "replicate").agg(F.count(F.lit(1)).alias("times"))
+    return counts.join(base, [*keys, "__i"]).drop("__i")
 
 
 def auc_ci(df: DataFrame, row_id: str, y: str, score: str, draws: int, seed: int) -> DataFrame:
@@ -115,12 +124,10 @@ def median_boot(df: DataFrame, keys: Sequence[str], row_id: str, value: str, dra
     """2.5/97.5 percentiles of the resampled median per key."""
     keys = list(keys)
     base = cut(row_numbers(df.select(*keys, row_id, value), keys, [F.col(row_id)], "__i"))
-    size = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    rep = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("replicate")
-    picks = base.select(*keys, F.col("__i").alias("slot")).join(size, keys).select(*keys, "slot", "__n", rep)
-    pick = F.least(F.floor(uniform(seed, *keys, "replicate", "slot") * F.col("__n")), F.col("__n") - 1).cast("long")
-    chosen = picks.select(*keys, "replicate", pick.alias("__i")).join(base, [*keys, "__i"])
-    med = cut(quantiles(chosen, [*keys, "replicate"], value, {"med": 0.5}))
+    size = cut(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
+    chosen = _redraw(base, size, keys, draws, lambda: uniform(seed, *keys, "replicate", "slot"))
+    most = size.agg(F.max("__n")).first()[0] or 0
+    med = cut(quantiles(chosen, [*keys, "replicate"], value, {"med": 0.5}, group_rows=most, weight="times"))
     return quantiles(med, keys, "med", {"lo": 0.025, "hi": 0.975}, group_rows=draws)
 
 

@@ -63,16 +63,20 @@ def row_numbers(
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], group_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], group_rows: int | None = None, weight: str | None = None
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per key as columns named by `probs`; nulls are skipped."""
+    """Exact linear-interpolation quantiles per key as columns named by `probs`; nulls are skipped.
+
+    A row stands for as many rows as its integer `weight` says.
+    """
     keys = list(keys)
-    df = df.where(F.col(value).isNotNull()).select(*keys, value)
+    times = F.lit(1) if weight is None else F.col(weight)
+    df = df.where(F.col(value).isNotNull()).select(*keys, value, *([] if weight is None else [weight]))
     if _fits(df, keys, group_rows):
-        return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+        return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p), times).alias(n) for n, p in probs.items()])
+    counts = df.groupBy(*keys, value).agg(F.sum(times).alias("__c"))
     run = running_sums(counts, keys, [F.col(value)], {"__before": F.col("__c")})
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = df.groupBy(*keys).agg(F.sum(times).alias("__n"))
     run = run.join(total, keys) if keys else run.crossJoin(total)
     aggs = []
     for name, p in probs.items():

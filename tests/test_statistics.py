@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohesia.functions import rng
 from cohesia.functions.tails import binom_ci, mcnemar, two_sided_p
+from cohesia.plans.ordered import quantiles
 from cohesia.operators import localise as lo
 from cohesia.operators import models as md
 from cohesia.operators import statistics as st
@@ -294,3 +295,18 @@ def test_required_size(spark):
         assert got[c] == (b if b <= hi else None), c
     assert got["never"] is None and got["easy"] is not None
     assert st.required_n(t.limit(0), sims, 3, target, lo, hi).count() == 0
+
+
+def test_redraws_are_dealt_over_tasks(spark):
+    """A short table redrawn many times does not stay in the one task that holds it."""
+    df = spark.range(3000).select(F.col("id").alias("doc"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    s = st.stratified_resample(df, "doc", "y", 2000, 1)
+    rows = s.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("times").alias("t")).toPandas()
+    assert rows.t.sum() == 6_000_000 and len(rows) >= 5
+
+
+def test_weighted_quantiles(spark):
+    df = spark.createDataFrame([("a", 1.0, 3), ("a", 4.0, 2), ("a", 9.0, 1), ("b", 2.0, 1), ("b", 7.0, 1)], "k string, v double, t long")
+    for rows in (10, 10**9):
+        q = {r.k: r.m for r in quantiles(df, ["k"], "v", {"m": 0.5}, group_rows=rows, weight="t").collect()}
+        assert q == {"a": 2.5, "b": 4.5}
