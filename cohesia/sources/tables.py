@@ -34,9 +34,9 @@ def require_rows(df: DataFrame, hint: str) -> DataFrame:
     return df
 
 
-def list_inputs(spark: SparkSession, path: str, limit: int | None = None, pattern: str | None = None, hint: str = "") -> DataFrame:
-    """(path, length) ordered by size then path; contents are never read. A missing or empty source raises with the hint."""
-    r = spark.read.format("binaryFile")
+def list_inputs(spark: SparkSession, path: str, limit: int | None = None, pattern: str | None = None, hint: str = "", nested: bool = False) -> DataFrame:
+    """(path, length) ordered by size then path, with those of inner folders if `nested`; contents are never read. A missing or empty source raises with the hint."""
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", str(nested).lower())
     if pattern:
         r = r.option("pathGlobFilter", pattern)
     try:

@@ -159,9 +159,9 @@ _LISTED = ("benchmark", "conversations", "customer", "documents", "embeddings",
 
 @query("s09_list_inputs", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _LISTED))
 def s09(spark, d):
-    """The listed table files, each with the rows that a scan of it finds."""
+    """The listed tables, each a file or a folder of files, with the rows that a scan of it finds."""
     named = F.regexp_extract("path", r"([^/]+)\.parquet(/[^/]*)?$", 1)
-    listed = tb.list_inputs(spark, d, pattern="*.parquet").select(named.alias("name")).distinct()
+    listed = tb.list_inputs(spark, d, pattern="*.parquet", nested=True).select(named.alias("name")).distinct()
     counts = [spark.read.parquet(f"{d}/{t}.parquet").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in _LISTED]
     return listed.join(reduce(DataFrame.union, counts), "name")
 

@@ -310,3 +310,8 @@ def test_weighted_quantiles(spark):
     for rows in (10, 10**9):
         q = {r.k: r.m for r in quantiles(df, ["k"], "v", {"m": 0.5}, group_rows=rows, weight="t").collect()}
         assert q == {"a": 2.5, "b": 4.5}
+
+
+def test_list_inputs_of_folders(spark, tmp_path):
+    spark.range(10).repartition(2).write.parquet(str(tmp_path / "t.parquet"))
+    assert len({r.path for r in tb.list_inputs(spark, str(tmp_path), pattern="*.parquet", nested=True).collect()}) == 2
