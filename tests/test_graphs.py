@@ -319,6 +319,17 @@ def test_coarsen(spark):
     assert same.count() == nodes.count()
 
 
+def test_coarse_regions_on_a_grid_line(spark):
+    # Sums of ninths whose mean is 2/3 end one digit below it in some orders.
+    place, below = [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0)], math.nextafter(2 / 3, 0)
+    rows = [("g", 3 * c + i, *p, 0.0, 0.0, 1.0, 0.5, below, below) for c, p in enumerate(place) for i in range(3)]
+    nodes = spark.createDataFrame(rows, "graph_id string, node_id long, x double, y double, z double, fx double, fy double, fz double, fibrosis double, u double, v double")
+    nodes = nodes.withColumn("region", F.lit(0).cast("long"))
+    faces = spark.createDataFrame([("g", 0, 0, 3, 6)], "graph_id string, face_id long, a long, b long, c long")
+    coarse, _ = mesh.coarsen(nodes, faces, 3)
+    assert [r["region"] for r in coarse.collect()] == [8, 8, 8]
+
+
 def test_long_centre_lists_take_the_join(spark, monkeypatch):
     r = np.random.default_rng(4)
     nodes = spark.createDataFrame([("g", i, *map(float, r.uniform(0, 1, 3))) for i in range(40)], "graph_id string, node_id long, x double, y double, z double").cache()
