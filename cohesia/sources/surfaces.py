@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -264,21 +265,35 @@ def write_carp(nodes: DataFrame, faces: DataFrame, root: str, bins: int | None =
 
 
 def _decode_traces(batches):
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            raw = bytes(content)
-            head = dict(w.split(":", 1) for w in raw[:1024].decode("ascii", "ignore").replace("\x00", " ").split() if ":" in w)
+    """Frames of many files in batches of about _CHUNK rows; a file may be short or of many chunks."""
+
+    def table(parts):
+        stems, node, frame, v = zip(*parts)
+        names = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(v)), [len(x) for x in v])), pa.array(stems, pa.string())).cast(pa.string())
+        return pa.record_batch([names, *map(pa.array, (np.concatenate(node), np.concatenate(frame), np.concatenate(v).astype(float)))], names=["run_id", "node_id", "frame", "v"])
+
+    for b in batches:
+        parts, rows = [], 0
+        for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+            raw = content.as_buffer()
+            head = dict(w.split(":", 1) for w in raw[:1024].to_pybytes().decode("ascii", "ignore").replace("\x00", " ").split() if ":" in w)
             n, frames = int(head["x"]), int(head["t"])
             v = np.frombuffer(raw, dtype="<f4", offset=1024, count=n * frames)
             stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
             for lo in range(0, v.size, _CHUNK):
                 i = np.arange(lo, min(lo + _CHUNK, v.size))
-                yield pd.DataFrame({"run_id": stem, "node_id": i % n, "frame": i // n, "v": v[i].astype(float)})
+                parts.append((stem, i % n, i // n, v[i]))
+                rows += len(i)
+                if rows >= _CHUNK:
+                    yield table(parts)
+                    parts, rows = [], 0
+        if parts:
+            yield table(parts)
 
 
 def parse_igb(files: DataFrame) -> DataFrame:
     """frames(run_id, node_id, frame, v) from (path, content) rows: 1024-byte header, float32 little-endian frames."""
-    return files.select("path", "content").mapInPandas(_decode_traces, "run_id string, node_id long, frame long, v double")
+    return files.select("path", "content").mapInArrow(_decode_traces, "run_id string, node_id long, frame long, v double")
 
 
 def read_igb(spark: SparkSession, path: str) -> DataFrame:

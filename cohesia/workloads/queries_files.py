@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,16 +120,23 @@ def s04(spark, d):
     return f.select(G, "face_id", *[r4(c, 5).alias(c) for c in ("fx", "fy", "fz")])
 
 
-def encode_trace(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One node's hourly series as a trace file; its length is bounded by the hours covered."""
-    pdf = pdf.sort_values("frame")
-    head = f"x:1 y:1 z:1 t:{len(pdf)} type:float".encode().ljust(1024)
-    return pd.DataFrame({"path": [f"{pdf['run_id'].iloc[0]}-{pdf['node_id'].iloc[0]}.igb"], "content": [head + pdf["v"].to_numpy().astype("<f4").tobytes()]})
+def encode_traces(batches):
+    """Trace files (path, content) of rows (stem, v): a row holds one node's hourly series, bounded by the hours covered."""
+    for b in batches:
+        stems, series = b.column(0).to_pylist(), b.column(1)
+        sizes = series.value_lengths().to_numpy(zero_copy_only=False)
+        parts = np.split(series.flatten().to_numpy(zero_copy_only=False).astype("<f4"), np.cumsum(sizes)[:-1])
+        head = {n: f"x:1 y:1 z:1 t:{n} type:float".encode().ljust(1024) for n in set(sizes.tolist())}
+        content = [head[n] + v.tobytes() for n, v in zip(sizes.tolist(), parts)]
+        yield pa.record_batch([pa.array([f"{s}.igb" for s in stems], pa.string()), pa.array(content, pa.binary())], names=["path", "content"])
 
 
 @query("s05_igb", k.q(k.TRACES, body=f"SELECT run_id || '-' || node_id AS run_id, row_number() OVER (PARTITION BY run_id, node_id ORDER BY frame) - 1 AS frame, {k.r4('v', 2)} AS v FROM traces"))
 def s05(spark, d):
-    files = views.traces(spark, d).groupBy("run_id", "node_id").applyInPandas(encode_trace, "path string, content binary")
+    series = F.array_sort(F.collect_list(F.struct("frame", "v")))
+    rows = views.traces(spark, d).groupBy("run_id", "node_id").agg(series.alias("s"))
+    rows = rows.select(F.concat_ws("-", "run_id", F.col("node_id").cast("string")).alias("stem"), F.transform("s", lambda s: s["v"]).alias("v"))
+    files = rows.mapInArrow(encode_traces, "path string, content binary")
     return sf.parse_igb(files).select("run_id", "frame", r4("v", 2).alias("v"))
 
 

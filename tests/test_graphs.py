@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,6 +331,25 @@ def test_coarse_regions_on_a_grid_line(spark):
     assert [r["region"] for r in coarse.collect()] == [8, 8, 8]
 
 
+@pytest.mark.parametrize("tile, queries, matrix", [(1, 7, 40), (2, 50, 500), (8, 20_000, 2_000_000)])
+def test_knn_tiles(spark, monkeypatch, tile, queries, matrix):
+    # Half of the points are copies, one lies far off: ties go by node id, whatever tile, salt or part of a matrix holds them.
+    monkeypatch.setattr(spatial, "TILE", tile)
+    monkeypatch.setattr(spatial, "TILE_QUERIES", queries)
+    monkeypatch.setattr(spatial, "MATRIX", matrix)
+    rng = np.random.default_rng(5)
+    at = np.vstack([rng.normal(size=(60, 2)), np.repeat([[0.25, 0.5]], 40, 0), [[30.0, -20.0]]])
+    p = pd.DataFrame({G: "g", "node_id": rng.permutation(len(at)), "x": at[:, 0], "y": at[:, 1]})
+    nodes = spark.createDataFrame(p)
+    got = spatial.knn(nodes.withColumnRenamed("node_id", "qid"), nodes, 4, skip_self=True)
+    want = []
+    for q in p.itertuples():
+        d = np.sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2)
+        near = sorted((a, int(n)) for a, n in zip(d, p.node_id) if n != q.node_id)[:4]
+        want += [(int(q.node_id), i + 1, n, a) for i, (a, n) in enumerate(near)]
+    assert sorted((r["qid"], r["rank"], r["node_id"], r["dist"]) for r in got.collect()) == sorted(want)
+
+
 def test_long_centre_lists_take_the_join(spark, monkeypatch):
     r = np.random.default_rng(4)
     nodes = spark.createDataFrame([("g", i, *map(float, r.uniform(0, 1, 3))) for i in range(40)], "graph_id string, node_id long, x double, y double, z double").cache()
@@ -376,3 +396,18 @@ def test_gate_chain_takes_the_best_classifier(spark):
     rows = [("a", .12, .01, .80, .01), ("a", .02, .60, .70, .02), ("b", .07, .01, .80, .01), ("c", .12, .01, .60, .01), ("d", .12, .01, .80, .05), ("e", .12, .01, .80, .06), ("f", .12, .20, .80, .01)]
     got = {r.k: r.verdict for r in models.gate_chain(spark.createDataFrame(rows, "k string, delta double, p double, baseline_auc double, p_noise double"), ["k"]).collect()}
     assert got == {"a": "met", "b": "inconclusive: underpowered", "c": "not met: degraded baseline", "d": "met", "e": "not met: noise explains", "f": "inconclusive: test does not reject"}
+
+
+def test_traces_are_packed_by_the_batch():
+    """Many short trace files become one batch of frames, a long one several; nothing is started for a single file."""
+    from cohesia.sources import surfaces as sf
+    from cohesia.workloads.queries_files import encode_traces
+
+    series = [np.arange(i % 5 + 1) + 0.5 for i in range(1000)] + [np.arange(150_000.0)]
+    rows = pa.record_batch([pa.array([f"run-{i}" for i in range(len(series))]), pa.array(series, pa.list_(pa.float64()))], names=["stem", "v"])
+    out = list(sf._decode_traces(encode_traces([rows])))
+    assert len(out) < 5
+    got = pa.Table.from_batches(out).to_pandas()
+    assert got["run_id"].tolist() == [f"run-{i}" for i, v in enumerate(series) for _ in v]
+    assert got["frame"].tolist() == [f for v in series for f in range(len(v))]
+    assert (got["v"] == np.concatenate(series)).all() and (got["node_id"] == 0).all()
