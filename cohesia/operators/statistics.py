@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rng import normal, uniform
+from ..functions.rng import normal, normal_runs, uniform
 from ..functions.tails import mcnemar, normal_quantile, normal_tail, two_sided_p
 from ..plans.lineage import cut, tasks, width
 from ..plans.ordered import midranks, quantiles, row_numbers
@@ -356,9 +356,15 @@ def separation(auc_value: float) -> float:
 
 def _placed(pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the other class below each positive and above each negative, ties half."""
-    p, n = np.sort(pos), np.sort(neg)
-    share = lambda x, other: (np.searchsorted(other, x, "left") + np.searchsorted(other, x, "right")) / (2 * len(other))
-    return share(pos, n), 1 - share(neg, p)
+    by = [np.argsort(x) for x in (pos, neg)]
+    p, n = pos[by[0]], neg[by[1]]
+
+    def share(x, other, at):
+        out = np.empty(len(x))
+        out[at] = (np.searchsorted(other, x, "left") + np.searchsorted(other, x, "right")) / (2 * len(other))
+        return out
+
+    return share(p, n, by[0]), 1 - share(n, p, by[1])
 
 
 def _paired_moments(pos: pd.Series, neg: pd.Series) -> pd.DataFrame:
@@ -373,13 +379,35 @@ def _paired_moments(pos: pd.Series, neg: pd.Series) -> pd.DataFrame:
 
 def _paired_p(pos: Column, neg: Column) -> Column:
     """p of the paired test between the scores a and b of two classes, each an array a, b, a, b, ..."""
-    t = F.pandas_udf(_paired_moments, "delta double, var double")(pos, neg)
+    return _moments_p(F.pandas_udf(_paired_moments, "delta double, var double")(pos, neg))
+
+
+def _moments_p(t: Column) -> Column:
     return F.transform(F.array(t), lambda t: F.when(t["var"] > 0, two_sided_p(t["delta"] / F.sqrt(t["var"]))).otherwise(F.lit(1.0)))[0]
 
 
-def _class_draws(n: Column, y: int, key, seed: int) -> Column:
-    """Scores of n simulated subjects of a class; a whole simulation is one row, so nothing is shuffled or grouped."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.array(*_scores(F.lit(y), "r", seed, "cell", "sim", *key(i)))))
+def _simulated_p(seed: int, n1: str, n0: str, own_ids: bool) -> Column:
+    """p of the paired test of each simulation (cell, sim, class sizes, shifts, r), drawn within its task, so nothing is shuffled or grouped.
+
+    The draws are those of _scores() with the keys (cell, sim, i), negatives numbered after the positives, or (cell, sim, y, i)
+    if each class has its own ids.
+    """
+
+    def moments(cell: pd.Series, sim: pd.Series, n1: pd.Series, n0: pd.Series, mu_a: pd.Series, mu_b: pd.Series, r: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, s, n1_, n0_, a, b, share in zip(cell, sim, n1, n0, mu_a, mu_b, r):
+            scores = []
+            for y, count, start in ((1, n1_, 0), (0, n0_, 0 if own_ids else n1_)):
+                prefix = f"{seed}|{c}|{s}|" + (f"{y}|" if own_ids else "")
+                z, p, q = normal_runs(prefix, int(start), int(count), "zpq")
+                x = np.empty(2 * int(count))
+                x[0::2] = a * y + np.sqrt(share) * z + np.sqrt(1 - share) * p
+                x[1::2] = b * y + np.sqrt(share) * z + np.sqrt(1 - share) * q
+                scores.append(x)
+            out.append(_paired_moments([scores[0]], [scores[1]]))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"delta": [], "var": []}, dtype=float)
+
+    return _moments_p(F.pandas_udf(moments, "delta double, var double")("cell", "sim", n1, n0, "mu_a", "mu_b", "r"))
 
 
 def _simulations(cells: DataFrame, sims: int) -> DataFrame:
@@ -390,9 +418,7 @@ def _simulations(cells: DataFrame, sims: int) -> DataFrame:
 
 def power_grid(cells: DataFrame, sims: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """Share of simulations in which the paired test rejects, per cells(cell, n1, n0, mu_a, mu_b, r); classes of at least one."""
-    pos = _class_draws(F.col("n1"), 1, lambda i: (i,), seed)
-    neg = _class_draws(F.col("n0"), 0, lambda i: (i + F.col("n1"),), seed)
-    t = _simulations(cells, sims).select("cell", pos.alias("pos"), neg.alias("neg")).select("cell", _paired_p(F.col("pos"), F.col("neg")).alias("p"))
+    t = _simulations(cells, sims).select("cell", _simulated_p(seed, "n1", "n0", own_ids=False).alias("p"))
     return t.groupBy("cell").agg(F.avg((F.col("p") < alpha).cast("double")).alias("power"), F.count(F.lit(1)).alias("sims"))
 
 
@@ -430,8 +456,7 @@ def required_n(targets: DataFrame, sims: int, seed: int, power: float = 0.80, lo
         grid = state.select("cell", "r", "rate", "mu_a", "mu_b", F.explode(tried).alias("size"))
         n1 = F.greatest(F.floor(F.col("size") * F.col("rate") + 0.5).cast("int"), F.lit(2))
         grid = grid.withColumn("n1", n1).withColumn("n0", F.greatest(F.col("size") - F.col("n1"), F.lit(2)))
-        draws = [_class_draws(F.col(f"n{y}"), y, lambda i, y=y: (F.lit(y), i), seed).alias(f"s{y}") for y in (1, 0)]
-        tests = _simulations(grid, sims).select("cell", "size", *draws).select("cell", "size", _paired_p(F.col("s1"), F.col("s0")).alias("p"))
+        tests = _simulations(grid, sims).select("cell", "size", _simulated_p(seed, "n1", "n0", own_ids=True).alias("p"))
         seen = tests.groupBy("cell", "size").agg((F.count_if(F.col("p") < alpha) >= power * F.count(F.lit(1))).alias("reached"))
         seen = seen.groupBy("cell").agg(F.min(F.when(F.col("reached"), F.col("size"))).alias("first"), F.collect_list("size").alias("sizes"))  # at most PARTS - 1
         at = F.coalesce("first", "at")

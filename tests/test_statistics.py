@@ -315,3 +315,11 @@ def test_weighted_quantiles(spark):
 def test_list_inputs_of_folders(spark, tmp_path):
     spark.range(10).repartition(2).write.parquet(str(tmp_path / "t.parquet"))
     assert len({r.path for r in tb.list_inputs(spark, str(tmp_path), pattern="*.parquet", nested=True).collect()}) == 2
+
+
+@pytest.mark.parametrize("cell", ["en/3", "ä" * 40, "c" * 61])
+def test_runs_of_draws_replay_the_stream(spark, monkeypatch, cell):
+    monkeypatch.setattr(rng, "LANES", 64)
+    rows = spark.range(7, 1200).select(rng.uniform(77, F.lit(cell), F.lit(3), "id", F.lit("z"), F.lit("a")).alias("u"), rng.normal(77, F.lit(cell), F.lit(3), "id", F.lit("q")).alias("n")).toPandas()
+    assert (rng.uniform_runs(f"77|{cell}|3|", 7, 1193, ["|z|a", "|q|b"])[0] == rows["u"]).all()
+    assert np.allclose(rng.normal_runs(f"77|{cell}|3|", 7, 1193, "zq")[1], rows["n"], rtol=1e-12, atol=1e-12)
