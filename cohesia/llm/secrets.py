@@ -24,7 +24,6 @@ THRESHOLD = 10.0  # log-likelihood ratio in nats above which a string is a secre
 RATE = 0.4  # the ratio a character pair is also above this (or above what held-out ordinary strings reach)
 FALSE_RATE = 0.001  # share of held-out ordinary strings that may pass
 UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"  # names of things, not secrets
-NEGATIVE_DOCS = 5_000  # documents that ordinary words are sampled from, about: those of smallest hash
 
 _SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
@@ -88,15 +87,13 @@ def samples(docs: DataFrame) -> DataFrame:
 
     Secrets are the values that the base patterns find in any document and, as those are of few alphabets, digests
     of a quarter of the ordinary words in base64, with and without its signs. Words, and the names that are built of
-    them, come from a share of the documents, by hash: about NEGATIVE_DOCS of them.
+    them, come from all documents.
     """
     base = find_base(docs).select("text", F.explode(F.concat("assign", "access", "hex")).alias("s"))
     hit = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     value = F.when(F.col("s.kind") == "assign", F.regexp_extract(hit, ASSIGN, 2)).otherwise(hit)
-    share = F.lit(float(NEGATIVE_DOCS) / max(docs.count(), 1))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     # No pieces of secrets among the ordinary words.
-    drawn = drawn.select(F.regexp_replace(F.col("text").cast("string"), "|".join((ASSIGN, ACCESS, HEX)), " ").alias("text"))
+    drawn = docs.select(F.regexp_replace(F.col("text").cast("string"), "|".join((ASSIGN, ACCESS, HEX)), " ").alias("text"))
     found = lambda pattern: F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))
     words = drawn.select(found(SHORT_WORD).alias("words"), found(WORD).alias("long"))
     plain = words.select(F.explode(F.concat("long", F.coalesce(_identifiers(F.col("words")), F.array().cast("array<string>")))).alias("value"))

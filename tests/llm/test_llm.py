@@ -615,3 +615,9 @@ def test_pipeline(spark):
         for j, n in Counter(j for x in s for j in index[x] if j < i).items():
             assert 100 * n < 80 * (len(s) + len(sets[j]) - n)
     assert isinstance(left, pd.DataFrame) and corpus_pipeline.run(spark, d).count() == len(left)
+
+
+def test_ordinary_strings_come_from_every_document(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("see "), F.translate(F.lpad(F.col("id").cast("string"), 14, "0"), "0123456789", "abcdefghij")).alias("text"))
+    ordinary = secrets.samples(docs).where("label = 0")
+    assert ordinary.select("value").distinct().count() == 6000
