@@ -16,8 +16,11 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
-WORD = "(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{12,}(?![A-Za-z0-9+/_=-])"
-SHORT_WORD = "(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,14}(?![A-Za-z0-9+/_=-])"
+# Possessive: a shorter match would be followed by a letter, which the look-ahead refuses.
+WORD = "(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{12,}+(?![A-Za-z0-9+/_=-])"
+SHORT_WORD = "(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,14}+(?![A-Za-z0-9+/_=-])"
+# Any base pattern, letters in either case; it is only tried at characters that one may begin with.
+SECRET = "(?=[0-9A-Fa-fPpSsTt])(?:" + "|".join((ASSIGN, ACCESS, HEX)) + ")"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1  # 0 stands for any other character
 THRESHOLD = 10.0  # log-likelihood ratio in nats above which a string is a secret, if
@@ -68,18 +71,26 @@ def find_base(docs: DataFrame) -> DataFrame:
 def _identifiers(words: Column) -> Column:
     """Ordinary names out of a text's words: paths, snake, kebab and camel case, versions and dates, some with numbers."""
 
-    def name(i):
+    def four(i):
         w = [F.lower(F.get(words, i + k)) for k in range(4)]
-        h = F.xxhash64(w[0], w[1], i)
-        n = F.pmod(F.shiftright(h, 8), F.lit(1000)).cast("string")
-        day = F.concat(F.lit("20"), F.lpad(F.pmod(F.shiftright(h, 20), F.lit(40)).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.pmod(F.shiftright(h, 30), F.lit(12)) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.pmod(F.shiftright(h, 40), F.lit(28)) + 1).cast("string"), 2, "0"))
+        return F.struct(F.array(*w).alias("w"), F.xxhash64(w[0], w[1], i).alias("h"))
+
+    def name(x):
+        w, h = [x["w"][k] for k in range(4)], x["h"]
+        part = lambda bits, m, least=0: (F.pmod(F.shiftright(h, bits), F.lit(m)) + least).cast("string")
+        n = part(8, 1000)
+        day = F.concat(F.lit("20"), F.lpad(part(20, 40), 2, "0"), F.lit("-"), F.lpad(part(30, 12, 1), 2, "0"), F.lit("-"), F.lpad(part(40, 28, 1), 2, "0"))
         shapes = [
             F.concat_ws("_", *w), F.concat_ws("/", *w), F.concat(*map(F.initcap, w), n), F.concat_ws("-", w[0], w[1], day), F.concat_ws("/", w[0], w[1], n, w[2]),
             F.concat(F.upper(F.concat_ws("_", *w[:3])), F.lit("_"), n), F.concat(w[0], *map(F.initcap, w[1:])), F.concat(F.concat_ws("-", *w[:3]), F.lit("-v"), n), F.concat(w[0], n, F.lit("="), w[1], w[2]),
         ]
-        return F.element_at(F.array(*shapes), F.pmod(h, F.lit(len(shapes))).cast("int") + 1)
+        # Branches, so that only the shape that is taken is built.
+        taken = F
+        for k, shape in enumerate(shapes):
+            taken = taken.when(F.pmod(h, F.lit(len(shapes))) == k, shape)
+        return taken
 
-    return F.when(F.size(words) >= 8, F.transform(F.sequence(F.lit(0), F.size(words) - 4, F.lit(8)), name))
+    return F.when(F.size(words) >= 8, F.transform(F.transform(F.sequence(F.lit(0), F.size(words) - 4, F.lit(8)), four), name))
 
 
 def samples(docs: DataFrame) -> DataFrame:
@@ -87,19 +98,24 @@ def samples(docs: DataFrame) -> DataFrame:
 
     Secrets are the values that the base patterns find in any document and, as those are of few alphabets, digests
     of a quarter of the ordinary words in base64, with and without its signs. Words, and the names that are built of
-    them, come from all documents.
+    them, come from all documents, in one pass over the texts.
     """
-    base = find_base(docs).select("text", F.explode(F.concat("assign", "access", "hex")).alias("s"))
-    hit = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    value = F.when(F.col("s.kind") == "assign", F.regexp_extract(hit, ASSIGN, 2)).otherwise(hit)
+    found = lambda pattern: F.regexp_extract_all(F.col("plain"), F.lit(pattern), F.lit(0))
+    labelled = lambda values, label: F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(label).alias("label")))
+
+    def value(s):
+        hit = F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
+        return F.when(s["kind"] == "assign", F.regexp_extract(hit, ASSIGN, 2)).otherwise(hit)
+
     # No pieces of secrets among the ordinary words.
-    drawn = docs.select(F.regexp_replace(F.col("text").cast("string"), "|".join((ASSIGN, ACCESS, HEX)), " ").alias("text"))
-    found = lambda pattern: F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))
-    words = drawn.select(found(SHORT_WORD).alias("words"), found(WORD).alias("long"))
-    plain = words.select(F.explode(F.concat("long", F.coalesce(_identifiers(F.col("words")), F.array().cast("array<string>")))).alias("value"))
+    rows = find_base(docs).select(F.transform(F.concat("assign", "access", "hex"), value).alias("secrets"), F.regexp_replace("text", SECRET, " ").alias("plain"))
+    rows = rows.select("secrets", found(SHORT_WORD).alias("words"), found(WORD).alias("long"))
+    ordinary = F.concat("long", F.coalesce(_identifiers(F.col("words")), F.array().cast("array<string>")))
+    each = rows.select(F.inline(F.concat(labelled(F.col("secrets"), 1), labelled(ordinary, 0))))
     digest = F.base64(F.unhex(F.sha2("value", 256)))
-    drawn_at_random = plain.where(F.pmod(F.xxhash64("value"), F.lit(4)) == 0).select(F.explode(F.array(digest, F.regexp_replace(digest, "[+/=]", ""))).alias("value"))
-    return base.select(value.alias("value"), F.lit(1).alias("label")).union(drawn_at_random.select("value", F.lit(1))).union(plain.select("value", F.lit(0)))
+    at_random = F.array(digest, F.translate(digest, "+/=", ""))
+    more = F.when((F.col("label") == 0) & (F.pmod(F.xxhash64("value"), F.lit(4)) == 0), labelled(at_random, 1)).otherwise(F.array().cast("array<struct<value:string,label:int>>"))
+    return each.select(F.inline(F.concat(F.array(F.struct("value", "label")), more)))
 
 
 def _held_out() -> Column:
@@ -122,8 +138,8 @@ def train(labelled: DataFrame) -> list[float]:
     Pair counts are summed by Spark; at most 2 * SIZE * SIZE of them come back. Both models are smoothed
     by half a count, so unseen pairs and missing classes have a defined ratio (no samples: all zero).
     """
-    pairs = labelled.where((F.length("value") > 1) & ~_held_out()).select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring("value", i, F.lit(2)))).alias("pair"))
-    counts = pairs.groupBy("label", "pair").count().where("length(pair) = 2")
+    places = labelled.where((F.length("value") > 1) & ~_held_out()).select("label", "value", F.explode(F.sequence(F.lit(1), F.length("value") - 1)).alias("i"))
+    counts = places.groupBy("label", F.substring("value", F.col("i"), F.lit(2)).alias("pair")).count().where("length(pair) = 2")
     counts = counts.select("label", (_code(F.substring("pair", 1, 1)) * SIZE + _code(F.substring("pair", 2, 1))).alias("at"), "count").groupBy("label", "at").agg(F.sum("count").alias("n"))
     n = [[0.5] * (SIZE * SIZE) for _ in range(2)]
     for label, at, count in counts.collect():  # at most 2 * SIZE * SIZE rows

@@ -1,5 +1,6 @@
 """The operators of cohesia.llm against brute force, round trips and held-out accuracy, and on odd rows."""
 
+import base64
 import hashlib
 import random
 import re
@@ -621,3 +622,21 @@ def test_ordinary_strings_come_from_every_document(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("see "), F.translate(F.lpad(F.col("id").cast("string"), 14, "0"), "0123456789", "abcdefghij")).alias("text"))
     ordinary = secrets.samples(docs).where("label = 0")
     assert ordinary.select("value").distinct().count() == 6000
+
+
+def test_samples_read_the_texts_once(spark, rng, tmp_path):
+    """One pass gives the strings that the patterns give one by one; odd cases of secrets leave no ordinary words behind."""
+    parts = ["ToKeN: ab", "api-key=internationalization", "PASSWD='Some_long-Value_here'", "akia" + "Q7" * 9, "DEADBEEF" * 4, "deadbeefdead", "mytoken=abcdefghijkl", "AKIA" + "B2" * 8, "0123456789abcdef" * 2, "snake_case_of_words", "kebab-case-of-words", "x1" * 9, "donaudampfschiff", "internationalization", "path/of/some/words", "é😀secret:longenough", "abcdefghijklmnopqrst1"]
+    texts = [" ".join(rng.sample(parts, 4)) for _ in range(300)] + [t for t in ODD if t is None or len(t) < 20]
+    path = str(tmp_path / "documents")
+    documents(spark, list(enumerate(texts))).write.parquet(path)
+    found = secrets.samples(spark.read.parquet(path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    got = {label: Counter(r.value for r in found.where(F.col("label") == label).collect()) for label in (0, 1)}
+    drop, edge = "(?i:" + "|".join(p.replace("(?i)", "") for p in (secrets.ASSIGN, secrets.ACCESS, secrets.HEX)) + ")", "[A-Za-z0-9+/_=-]"
+    plain = [re.sub(drop, " ", t or "") for t in texts]
+    assert got[0] == Counter(w for t in plain for w in re.findall(f"(?<!{edge})[A-Za-z_-]{{12,}}(?!{edge})", t))
+    values = Counter(m[2] if k == "assign" else m[0] for t in texts for k, p, ok in BASE for m in re.finditer(p, t or "") if ok(m))
+    digests = {w: base64.b64encode(hashlib.sha256(w.encode()).digest()).decode() for w in got[0]}
+    drawn = [w for w, d in digests.items() if d in got[1]]
+    assert drawn and got[1] == values + Counter({x: got[0][w] for w in drawn for x in (digests[w], re.sub("[+/=]", "", digests[w]))})
