@@ -411,3 +411,43 @@ def test_traces_are_packed_by_the_batch():
     assert got["run_id"].tolist() == [f"run-{i}" for i, v in enumerate(series) for _ in v]
     assert got["frame"].tolist() == [f for v in series for f in range(len(v))]
     assert (got["v"] == np.concatenate(series)).all() and (got["node_id"] == 0).all()
+
+
+@pytest.mark.parametrize("name", ["c01_components", "c01_components_joined"])
+def test_retail_components_join_customers_by_their_lines(spark, tmp_path, name):
+    """Customers without orders, orders without customers and lines of unknown orders are nodes as well; a shared pair links two orders."""
+    import __spark_entry__ as entry
+    from compare import connect, difference
+
+    pd.DataFrame({"c_custkey": [1, 2, 3, 4, 5]}).to_parquet(tmp_path / "customer.parquet")
+    pd.DataFrame({"o_custkey": pd.array([1, 2, 3, 3, None, 5], dtype="Int64"), "o_orderkey": [10, 20, 30, 31, 40, 1]}).to_parquet(tmp_path / "orders.parquet")
+    li = pd.DataFrame({"l_orderkey": [10, 10, 20, 30, 31, 90, 91, 40], "l_partkey": [7, 8, 8, 9, 9, 6, 6, 5], "l_suppkey": [1, 1, 1, 1, 2, 3, 3, 3]})
+    li.to_parquet(tmp_path / "lineitem.parquet")
+    got = entry.queries()[name](spark, str(tmp_path)).toPandas()
+    pair = lambda p, s: (1 << 62) + p * (1 << 31) + s
+    want = {2: {2, 4, 21, 41, pair(7, 1), pair(8, 1)}, 6: {6, 61, 63, pair(9, 1), pair(9, 2)}, 8: {8}, 3: {3, 10}, 81: {81, pair(5, 3)}, 181: {181, 183, pair(6, 3)}}
+    assert dict(zip(got.comp, got.members)) == {k: len(v) for k, v in want.items()} and all(min(v) == k for k, v in want.items())
+    assert difference(got, connect(str(tmp_path)).execute(entry.oracle_sql()[name]).df()) is None
+
+
+@pytest.mark.parametrize("limit", [0, 30, 20_000])
+def test_components_of_paths_stars_and_trees(spark, limit):
+    """Ids that grow and fall along a path, hubs of small and large id, random trees and chords: rounds of every kind."""
+    r = np.random.default_rng(11)
+    links = [(i, i + 1) for i in range(100, 160)] + [(300 - i, 299 - i) for i in range(40)] + [(400, i) for i in range(401, 440)] + [(599, i) for i in range(560, 599)]
+    mixed = r.permutation(np.arange(700, 800))
+    links += [(int(mixed[i]), int(mixed[r.integers(0, i)])) for i in range(1, 100)] + [tuple(map(int, r.integers(1000, 1200, 2))) for _ in range(130)]
+    parent = {i: i for link in links for i in link}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    edges = spark.createDataFrame([(g, a, b) for g in ("g", "h") for a, b in links], "graph_id string, src long, dst long")
+    nodes = edges.select(G, F.col("src").alias("node_id")).union(edges.select(G, "dst")).distinct()
+    got = cc.components(edges, nodes, local_edges=limit).toPandas()
+    assert len(got) == 2 * len(parent) and all(c == find(i) for i, c in zip(got.node_id, got.comp))
